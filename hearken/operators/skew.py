@@ -167,7 +167,7 @@ def aggregate_with_quantiles(
         grouped = part.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"), *aggs, *sets, *arrays)
         if not keys:
             grouped = grouped.filter("__rows > 0")
-        return grouped.select(*[c for c in grouped.columns if not c.startswith("__")], *picks)
+        return grouped.select(*[c for c in grouped.columns if c != "__rows" and not c.startswith("__q_")], *picks)
 
     hot_keys = hot_groups(df, keys, limit)
     if hot_keys is None:
