@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hearken.config import HOT_GROUP_ROWS
 from hearken.functions.solvers import solve_free, solve_nonneg
@@ -120,7 +121,7 @@ def gram_table(
     )
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _solve(gram: pd.Series, rhs: pd.Series, alpha: pd.Series, nonneg: pd.Series) -> pd.Series:
     out: list = [None] * len(rhs)
     sizes = rhs.map(len).to_numpy()
@@ -186,7 +187,7 @@ def kkt_residuals(fits: DataFrame) -> DataFrame:
     ).drop("__slope")
 
 
-def score(df: DataFrame, features: Sequence[str], clip_to: tuple[float, float] | None = None) -> Column:
+def score(features: Sequence[str], clip_to: tuple[float, float] | None = None) -> Column:
     """Prediction from the fit columns (median, mean, scale, coef, intercept) standing in the same row."""
     out = F.col("intercept")
     for i, c in enumerate(features):
