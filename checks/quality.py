@@ -15,7 +15,7 @@ from hearken.operators import quality as Q
 DIRTY_COLS = ("kl_var", "js_mean", "js_var", "l2_mean", "l2_var", "cosim_mean", "cosim_var")
 DIRTY = f"""{A.WINDOWS}, dirty AS (SELECT CASE WHEN l2 > 9.4 THEN NULL ELSE name END AS name, subdir, audio_index AS x,
     CASE WHEN js_mean > 0.16 AND cos_sim > 0.9 THEN '2.5' ELSE '3' END AS n_windows,
-    CASE WHEN l2 < 0.02 THEN 'n/a' WHEN l2 < 0.05 THEN 'Infinity' WHEN l2 < 0.08 THEN '-0.5' ELSE CAST(2.5 AS VARCHAR) END AS kl_mean,
+    CASE WHEN l2 < 0.15 THEN 'n/a' WHEN l2 < 0.25 THEN 'Infinity' WHEN l2 < 0.4 THEN '-0.5' ELSE CAST(2.5 AS VARCHAR) END AS kl_mean,
     CASE WHEN l2 > 9.2 THEN '-1' ELSE '0.5' END AS kl_var, '0.1' AS js_mean, '0.1' AS js_var, '1' AS l2_mean, '0.1' AS l2_var, '0.5' AS cosim_mean, '0.1' AS cosim_var FROM windows)"""
 
 
@@ -25,7 +25,7 @@ def dirty(spark, sf):
     return w.select(
         F.when(l2 > 9.4, None).otherwise(F.col("name")).alias("name"), "subdir", F.col("audio_index").alias("x"),
         F.when((F.col("js_mean") > 0.16) & (F.col("cos_sim") > 0.9), "2.5").otherwise("3").alias("n_windows"),
-        F.when(l2 < 0.02, "n/a").when(l2 < 0.05, "Infinity").when(l2 < 0.08, "-0.5").otherwise("2.5").alias("kl_mean"),
+        F.when(l2 < 0.15, "n/a").when(l2 < 0.25, "Infinity").when(l2 < 0.4, "-0.5").otherwise("2.5").alias("kl_mean"),
         F.when(l2 > 9.2, "-1").otherwise("0.5").alias("kl_var"),
         *[F.lit(v).alias(c) for c, v in zip(DIRTY_COLS[1:], ("0.1", "0.1", "1", "0.1", "0.5", "0.1"))])
 
