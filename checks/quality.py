@@ -10,6 +10,7 @@ from hearken.config import METRICS
 from hearken.functions import directions
 from hearken.operators import joins as J
 from hearken.operators import quality as Q
+from hearken.operators.skew import keyed_join
 
 # A raw table with every kind of defect, driven by the data: text numbers, holes, infinities, negative values, repeats.
 DIRTY_COLS = ("kl_var", "js_mean", "js_var", "l2_mean", "l2_var", "cosim_mean", "cosim_var")
@@ -54,8 +55,6 @@ def f4(spark, sf):
 
 @check("b3_keys_to_string", "SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS name, CAST(l_linenumber AS VARCHAR) AS x FROM lineitem")
 def b3(spark, sf):
-    from hearken.functions.exprs import at_least  # noqa: F401
-
     li = A.load(spark, sf, "lineitem").select(F.col("l_suppkey").alias("name"), F.col("l_linenumber").alias("x"))
     return J.keys_to_string(li, ["name", "x"]).distinct()
 
@@ -230,8 +229,8 @@ def c10(spark, sf):
 
     x = A.nation_x(spark, sf)
     folded = assign_folds(x, "name", "leave_one_out")
-    sets = folded.select("subdir", F.array("fold").alias("excl")).unionByName(
-        folded.select("fold").distinct().join(folded.select("subdir").distinct(), F.lit(True)).select("subdir", F.array("fold").alias("excl"))).distinct()
+    everyone = folded.agg(F.collect_set("fold").alias("all"))
+    sets = keyed_join(folded.select("subdir").distinct(), everyone, [], small=True).select("subdir", F.explode("all").alias("f")).select("subdir", F.array("f").alias("excl"))
     out = expand_folds(folded, sets).groupBy((F.col("excl")[0] + 1).alias("excluded"), "subdir").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("name").alias("n_devices"))
     return tidy(out)
 

@@ -75,49 +75,46 @@ def gram_table(
     (indicators, interactions) are used as they are.
     """
     scaled = [c for c in features if c not in prescaled]
-    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    k = len(features)
     med = _medians(df, scaled, keys, default, limit) if scaled else df.groupBy(*keys).agg(F.lit(0).alias("__none"))
     rows = keyed_join(df, med, keys)
-    g = {c: F.coalesce(F.col(c).cast("double"), F.col(f"{c}__median")) - F.col(f"{c}__median") for c in scaled}
-    g |= {c: F.col(c).cast("double") for c in prescaled}
-    rows = rows.withColumns({f"__g{i}": g[c] for i, c in enumerate(features)} | {"__w": w, "__y": F.col(target).cast("double")})
-    k = len(features)
-    G = [F.col(f"__g{i}") for i in range(k)]
-    W, Y = F.col("__w"), F.col("__y")
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(W).alias("__sw"), F.sum(W * Y).alias("__swy")]
-    aggs += [F.first(f"{c}__median").alias(f"{c}__median") for c in scaled]
+    # Several hundred small expressions: written as SQL text, which plans much faster than building them one call at a time.
+    shift = {c: f"coalesce(CAST(`{c}` AS DOUBLE), `{c}__median`) - `{c}__median`" for c in scaled}
+    shift |= {c: f"CAST(`{c}` AS DOUBLE)" for c in prescaled}
+    weight_sql = "CAST(1 AS DOUBLE)" if weight is None else f"CAST(`{weight}` AS DOUBLE)"
+    rows = rows.selectExpr(
+        *[f"`{c}`" for c in keys], *[f"`{c}__median`" for c in scaled], *[f"{shift[c]} AS g{i}" for i, c in enumerate(features)],
+        f"{weight_sql} AS w", f"CAST(`{target}` AS DOUBLE) AS y",
+    )
+    aggs = ["count(1) AS n", "sum(w) AS sw", "sum(w * y) AS swy", *[f"first(`{c}__median`) AS `{c}__median`" for c in scaled]]
     for i in range(k):
-        aggs += [F.sum(W * G[i]).alias(f"__s{i}"), F.sum(W * G[i] * Y).alias(f"__y{i}")]
+        aggs += [f"sum(w * g{i}) AS s{i}", f"sum(w * g{i} * y) AS y{i}"]
+        aggs += [f"sum(w * g{i} * g{j}) AS c{i}_{j}" for j in range(i, k)]
         if features[i] in scaled:
-            aggs += [F.avg(G[i]).alias(f"__m{i}"), F.stddev_pop(G[i]).alias(f"__d{i}")]
-        aggs += [F.sum(W * G[i] * G[j]).alias(f"__c{i}_{j}") for j in range(i, k)]
-    sums = rows.groupBy(*keys).agg(*aggs)
-    sums = sums.withColumns({f"__d{i}": _unit_if_zero(F.col(f"__d{i}")) for i in range(k) if features[i] in scaled})
-    norm = F.col("n") / F.col("__sw")
-    mean = [F.col(f"__m{i}") if features[i] in scaled else F.lit(0.0) for i in range(k)]
-    scale = [F.col(f"__d{i}") if features[i] in scaled else F.lit(1.0) for i in range(k)]
-    sw = F.col("__sw")
-    ybar = F.col("__swy") / sw
-    xbar = [F.col(f"__s{i}") / sw if center else mean[i] for i in range(k)]
-
-    def cell(i, j):
+            aggs += [f"avg(g{i}) AS m{i}", f"stddev_pop(g{i}) AS d{i}"]
+    sums = rows.groupBy(*keys).agg(*[F.expr(a) for a in aggs])
+    flat = [features[i] not in scaled for i in range(k)]
+    mean = ["0D" if flat[i] else f"m{i}" for i in range(k)]
+    scale = ["1D" if flat[i] else f"IF(d{i} > 1e-12, d{i}, 1D)" for i in range(k)]
+    median = ["0D" if flat[i] else f"`{c}__median`" for i, c in enumerate(features)]
+    xbar = [f"(s{i} / sw)" if center else mean[i] for i in range(k)]
+
+    def cell(i: int, j: int) -> str:
         i, j = min(i, j), max(i, j)
-        raw = F.col(f"__c{i}_{j}") - xbar[j] * F.col(f"__s{i}") - xbar[i] * F.col(f"__s{j}") + xbar[i] * xbar[j] * sw
-        return norm * raw / (scale[i] * scale[j])
-
-    rhs = [norm * (F.col(f"__y{i}") - xbar[i] * F.col("__swy") - ybar * (F.col(f"__s{i}") - xbar[i] * sw)) / scale[i] for i in range(k)]
-    median = [F.col(f"{c}__median") if c in scaled else F.lit(0.0) for c in features]
-    return sums.select(
-        *keys,
-        "n",
-        F.array(*[F.lit(c) for c in features]).alias("features"),
-        F.array(*median).alias("median"),
-        F.array(*[m + d for m, d in zip(mean, median)]).alias("mean"),
-        F.array(*scale).alias("scale"),
-        F.array(*[(xb - m) / s for xb, m, s in zip(xbar, mean, scale)]).alias("x_center"),
-        ybar.alias("y_center"),
-        F.array(*[cell(i, j) for i in range(k) for j in range(k)]).alias("gram"),
-        F.array(*rhs).alias("rhs"),
+        return f"(n / sw) * (c{i}_{j} - {xbar[j]} * s{i} - {xbar[i]} * s{j} + {xbar[i]} * {xbar[j]} * sw) / (z{i} * z{j})"
+
+    rhs = [f"(n / sw) * (y{i} - {xbar[i]} * swy - (swy / sw) * (s{i} - {xbar[i]} * sw)) / z{i}" for i in range(k)]
+    names = ", ".join("'" + c.replace("'", "\\'") + "'" for c in features)
+    sums = sums.selectExpr("*", *[f"{scale[i]} AS z{i}" for i in range(k)])
+    return sums.selectExpr(
+        *[f"`{c}`" for c in keys], "n", f"array({names}) AS features",
+        f"array({', '.join(median)}) AS median",
+        f"array({', '.join(f'{m} + {d}' for m, d in zip(mean, median))}) AS mean",
+        f"array({', '.join(f'z{i}' for i in range(k))}) AS scale",
+        f"array({', '.join(f'({xbar[i]} - {mean[i]}) / z{i}' for i in range(k))}) AS x_center",
+        "swy / sw AS y_center",
+        f"array({', '.join(cell(i, j) for i in range(k) for j in range(k))}) AS gram",
+        f"array({', '.join(rhs)}) AS rhs",
     )
 
 
