@@ -135,16 +135,20 @@ def fit_fusion(
     rows = apply_directions(df.dropna(subset=[target]), features, overrides).withColumn("__row", F.col(ident))
     final = materialise(fit_models(rows, features, target, model))
     cols = ["median", "mean", "scale", "coef", "intercept"]
+    if cv_splits > 1:
+        rows = materialise(assign_folds(rows, "__row", "kfold", cv_splits, seed))
     out = keyed_join(rows, final.select(*cols), [], small=True).withColumn("predicted_score_train_fit", score(features)).drop(*cols)
     summary = point_metrics(out, [], target, "predicted_score_train_fit").withColumn("scope", F.lit("train_fit"))
     if cv_splits > 1:
-        folded = assign_folds(rows, "__row", "kfold", cv_splits, seed).filter("fold IS NOT NULL")
+        folded = rows.filter("fold IS NOT NULL")
         if not folded.isEmpty():
             copies = folded.withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(cv_splits - 1)))).filter("held <> fold")
-            fits = fit_models(copies.drop("fold"), features, target, model, ["held"])
-            cv = keyed_join(folded.withColumnRenamed("fold", "held"), fits.select("held", *cols), ["held"]).select("__row", score(features).alias("predicted_score_cv"))
-            out = keyed_join(out, cv, ["__row"], "left")
+            fits = materialise(fit_models(copies.drop("fold"), features, target, model, ["held"]))
+            # One fit per fold: a row meets the fit that left it out.
+            out = keyed_join(out, fits.select(F.col("held").alias("fold"), *cols), ["fold"], "left", small=True)
+            out = out.withColumn("predicted_score_cv", score(features)).drop(*cols)
             summary = summary.unionByName(point_metrics(out, [], target, "predicted_score_cv").withColumn("scope", F.lit("cross_validation")))
+        out = out.drop("fold")
     signs = metric_directions(features, overrides)
     word = {1: "higher_is_better", -1: "lower_is_better"}
     named = F.create_map(*[c for f in features for c in (F.lit(f), F.lit(word[signs[f]]))])
