@@ -143,7 +143,7 @@ def b14(spark, sf):
     return tidy(directions.apply_directions(li, cols, {"pesq": "lower"}).agg(*[F.sum(c).alias(c) for c in cols]), 3)
 
 
-@check("b15_feature_columns")
+@check("b15_feature_columns", "SELECT " + ", ".join(f"count({c}) AS {c}" for c in ("l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount", "l_tax")) + " FROM lineitem")
 def b15(spark, sf):
     li = A.load(spark, sf, "lineitem")
     cols = directions.feature_columns(li, ["l_quantity", "l_orderkey"])
