@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from hearken.llm import quality_mcd
+from hearken.llm import minhash, packing, quality_mcd
 from hearken.llm.common import table
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, 2048)
+
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mcd.judge(table(spark, sf_dir, "documents")).select(
@@ -15,7 +21,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op7_quality_rules": op7_quality_rules,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 SQL: dict[str, str] = {}
