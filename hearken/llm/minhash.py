@@ -79,8 +79,9 @@ class Shingler:
         known, out = self.known, np.empty(len(found), dtype=U)
         if len(known) > CACHE:
             known.clear()
-        for w in set(found) - known.keys():
-            known[w] = xxhash.xxh3_64_intdigest(w)
+        for w in found:
+            if w not in known:
+                known[w] = xxhash.xxh3_64_intdigest(w)
         out[:] = list(map(known.__getitem__, found))
         return out
 

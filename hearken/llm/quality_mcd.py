@@ -208,7 +208,7 @@ def fit(stats: DataFrame, share: float = 0.75, steps: int = 3, min_rows: int = 2
     params = stored(_cholesky(_start(rows), 1.0))
     for _ in range(steps):
         near = rows.join(params, "g").withColumn("d2", _distance())
-        cut = _cut(near.select("g", "d2"), share)
+        cut = stored(_cut(near.select("g", "d2"), share))
         params = stored(_cholesky(_moments(near.join(cut, "g"), F.col("d2") <= F.col("cut")), raw))
     near = rows.join(params, "g").withColumn("d2", _distance())
     params = _cholesky(_moments(near, F.col("d2") <= F.lit(inner)), settled)
@@ -225,16 +225,17 @@ def group_key(*columns: str) -> Column:
 def with_verdict(stats: DataFrame, params: DataFrame, cutoff: float) -> DataFrame:
     """``stats`` with ``base_failed``, ``distance`` and ``kept``.
 
-    Each row takes the finest level that has an estimate. The parameter table has one row
-    per group; Spark broadcasts it only below its own size threshold.
+    Each group takes the finest level that has an estimate, and each row the estimate of its
+    group. The table of groups is written, so that Spark knows its size and broadcasts it
+    only below its own threshold.
     """
-    out = stats.withColumn("base_failed", base_failed())
     names = [c for c in params.columns if c != "g"]
-    for i, key in enumerate((group_key("lang", "source"), group_key("lang"), group_key())):
-        level = params.select(F.col("g").alias(f"__g{i}"), F.struct(*names).alias(f"__p{i}"))
-        out = out.withColumn(f"__k{i}", key).join(level, F.col(f"__k{i}") == F.col(f"__g{i}"), "left")
-    chosen = F.coalesce("__p0", "__p1", "__p2")
-    out = out.withColumn("__p", chosen).select(*out.columns[: len(stats.columns) + 1], *[F.col(f"__p.{c}").alias(c) for c in names])
+    groups = stats.select("lang", "source").distinct()
+    groups = groups.select(group_key("lang", "source").alias("g0"), F.array(group_key("lang", "source"), group_key("lang"), group_key()).alias("gs"))
+    levels = groups.select("g0", F.posexplode("gs").alias("level", "g")).join(params, "g")
+    best = stored(levels.groupBy("g0").agg(F.min_by(F.struct(*names), "level").alias("__p")))
+    out = stats.withColumns({"base_failed": base_failed(), "__g": group_key("lang", "source")})
+    out = out.join(best, F.col("__g") == F.col("g0"), "left").select(*stats.columns, "base_failed", *[F.col(f"__p.{c}").alias(c) for c in names])
     out = out.withColumn("distance", F.sqrt(_distance()))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= F.lit(cutoff), F.lit(True))
     return out.withColumn("kept", kept).drop(*names)
