@@ -8,15 +8,18 @@ documents that share a band are candidates.
 Links are confirmed exactly, and components need only enough links to hold together:
 
 1. documents with equal sets are one class (map-side combined), whatever their number;
-2. in each band bucket every class is compared with one leader, twice, with different
-   leaders. This joins large groups with as many comparisons as members;
-3. in buckets that still span several components, all pairs across components are
-   compared by signature, block against block inside tasks; only pairs whose signatures
-   could belong to linked sets come out as rows, and these are confirmed too.
-
-Step 3 makes the result that of all candidate pairs: a pair is left out only if it shares
-no band, or if its signatures agree in fewer coordinates than ``AGREE``; at a similarity
-of exactly 0.8 the chances are 5e-8 and 1e-6.
+2. in each band bucket every class is compared with one leader, the member that shares its
+   bands with most others. Large groups of copies come together with as many comparisons
+   as members;
+3. in buckets that still span several components, pairs across components are compared by
+   signature, block against block inside tasks. For every class and other component only
+   the likeliest partner comes out and is confirmed;
+4. a class that still has a plausible partner in another component is compared with that
+   whole component by full sets, again block against block.
+
+So no plausible pair across components stays untested: a link is lost only if its pair
+shares no band, or agrees in fewer coordinates than ``AGREE``; at a similarity of exactly
+0.8 the chances are 5e-8 and 2e-6, and less above.
 
 Edge cases: a text without words has an empty set and is linked with nothing; null texts
 count as empty; a null doc_id never represents a group that has an id; repeated rows are
@@ -29,10 +32,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearken.llm.common import row_key, stored
@@ -40,8 +42,9 @@ from hearken.llm.components import components
 
 COORDINATES, ROWS = 128, 4
 BANDS = COORDINATES // ROWS
-AGREE = 78
+AGREE = 82
 BLOCK = 512
+SETS = 128
 CACHE = 300_000
 U = np.uint64
 SHIFT = U(0x9E3779B97F4A7C15)
@@ -157,16 +160,19 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.filter(100 * F.col("both") >= percent * (F.size("su") + F.size("sv") - F.col("both"))).select("u", "v")
 
 
-def _to_leader(buckets: DataFrame, seed: int) -> DataFrame:
-    """Pairs of each member and the leader of its bucket, where both are in different components."""
-    first = F.min(F.struct(F.xxhash64(F.lit(seed), "cls").alias("o"), F.col("cls").alias("v"), F.col("root").alias("r"))).alias("lead")
+def _to_leader(buckets: DataFrame) -> DataFrame:
+    """Pairs of each member and the leader of its bucket, where both are in different components.
+
+    The leader is the member that shares its bands with most others, the middle of a group of copies.
+    """
+    first = F.max(F.struct("fame", F.col("cls").alias("v"), F.col("root").alias("r"))).alias("lead")
     lead = buckets.groupBy("bucket").agg(first)
     pairs = buckets.join(lead, "bucket").filter("root <> lead.r").select(F.least("cls", "lead.v").alias("u"), F.greatest("cls", "lead.v").alias("v"))
     return pairs.distinct()
 
 
-def _rest(buckets: DataFrame) -> DataFrame:
-    """Pairs across components inside a bucket whose signatures agree often enough.
+def _plausible(buckets: DataFrame) -> DataFrame:
+    """(x, root, y): for members of a bucket and every other component in it whose signatures could belong to linked sets, the likeliest partner.
 
     Members outside the bucket's largest component are compared with all members. Both
     sides are cut into blocks, so a bucket of any size is many bounded tasks.
@@ -176,37 +182,92 @@ def _rest(buckets: DataFrame) -> DataFrame:
         F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")
     ).filter("parts > 1").select("bucket", "most.root", F.col("all") - F.col("most.n"), "all").toDF("bucket", "main", "few", "all")
     sized = buckets.join(main, "bucket").withColumns(
-        {
-            "nl": F.ceil(F.col("few") / BLOCK).cast("int"),
-            "nr": F.ceil(F.col("all") / BLOCK).cast("int"),
-            "row": F.struct("cls", "root", "n_shingles", "sig"),
-        }
+        {"nl": _blocks("few", BLOCK), "nr": _blocks("all", BLOCK), "row": F.struct("cls", "root", "n_shingles", "sig")}
     )
-    here = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
-    ask = sized.filter("root <> main").select("bucket", here("nl").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("j"), "row")
-    told = sized.select("bucket", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("i"), here("nr").alias("j"), "row")
+    ask = sized.filter("root <> main").select("bucket", _block("cls", "nl").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("j"), "row")
+    told = sized.select("bucket", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("i"), _block("cls", "nr").alias("j"), "row")
     a = ask.groupBy("bucket", "i", "j").agg(F.collect_list("row").alias("a"))
     b = told.groupBy("bucket", "i", "j").agg(F.collect_list("row").alias("b"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, v = [], []
+            out = []
             for left, right in zip(batch.column("a"), batch.column("b")):
                 x, y = left.as_py(), right.as_py()
                 sx, sy = (np.frombuffer(b"".join(r["sig"] for r in z), dtype=np.uint8).reshape(len(z), -1) for z in (x, y))
                 nx, ny = (np.array([r["n_shingles"] for r in z]) for z in (x, y))
-                rx, ry = (np.array([r["root"] for r in z]) for z in (x, y))
+                ry = np.array([r["root"] for r in y])
                 for k in range(len(x)):
-                    near = (np.minimum(nx[k], ny) * 5 >= np.maximum(nx[k], ny) * 4) & (ry != rx[k])
-                    at = np.flatnonzero(near)
-                    at = at[(sy[at] == sx[k]).sum(axis=1) >= AGREE]
-                    for m in at:
-                        p, q = x[k]["cls"], y[m]["cls"]
+                    at = np.flatnonzero((np.minimum(nx[k], ny) * 5 >= np.maximum(nx[k], ny) * 4) & (ry != x[k]["root"]))
+                    same = (sy[at] == sx[k]).sum(axis=1)
+                    best: dict[str, tuple[int, str]] = {}
+                    for m, n in zip(at[same >= AGREE], same[same >= AGREE]):
+                        best[ry[m]] = max(best.get(ry[m], (0, "")), (int(n), y[m]["cls"]))
+                    out += [(x[k]["cls"], r, n, c) for r, (n, c) in best.items()]
+            cols = list(zip(*out)) or [[]] * 4
+            types = (pa.string(), pa.string(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["x", "root", "n", "y"])
+
+    met = a.join(b, ["bucket", "i", "j"]).select("a", "b").mapInArrow(meet, "x string, root string, n int, y string")
+    return met.groupBy("x", "root").agg(F.max(F.struct("n", "y")).alias("b")).select("x", "root", "b.y")
+
+
+def _blocks(count: str, size: int) -> Column:
+    return F.ceil(F.col(count) / size).cast("int")
+
+
+def _block(name: str, blocks: str) -> Column:
+    return F.pmod(F.xxhash64(name), F.col(blocks)).cast("int")
+
+
+def _size_class(n: Column) -> Column:
+    """Sets that can be linked are at most one class apart."""
+    return F.floor(F.log(n.cast("double")) / F.lit(float(np.log(1.25)))).cast("int")
+
+
+def _with_component(wanted: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between each x of ``wanted`` (x, root) and the members of that component, all of them compared by full sets.
+
+    Members of a component are blocked by size class and hash, the askers by hash; an asker
+    meets only blocks of sizes near its own. A block gives at most one link per asker.
+    """
+    sized = sets.select("cls", "set", F.size("set").alias("n"), _size_class(F.size("set")).alias("c"))
+    asked = wanted.groupBy("root").agg(F.count(F.lit(1)).alias("askers"))
+    size = roots.join(asked, "root").groupBy("root", "askers").agg(F.count(F.lit(1)).alias("members"))
+    size = size.select("root", _blocks("members", SETS).alias("nr"), _blocks("askers", SETS).alias("nl"))
+    told = roots.join(size, "root").join(sized, "cls").select(
+        "root", "c", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("i"), _block("cls", "nr").alias("j"), F.struct("cls", "set").alias("row")
+    )
+    ask = wanted.join(size, "root").join(sized.withColumnRenamed("cls", "x"), "x").select(
+        "root", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)).alias("c"), _block("x", "nl").alias("i"), "nr", F.struct(F.col("x").alias("cls"), "set").alias("row")
+    )
+    ask = ask.select("root", "c", "i", F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("j"), "row")
+    keys = ["root", "c", "i", "j"]
+    a = ask.groupBy(*keys).agg(F.collect_list("row").alias("a"))
+    b = told.groupBy(*keys).agg(F.collect_list("row").alias("b"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v = [], []
+            for left, right in zip(batch.column("a"), batch.column("b")):
+                y = right.as_py()
+                names = [r["cls"] for r in y]
+                members = [np.array(r["set"], dtype=np.int64) for r in y]
+                sizes = np.array([len(m) for m in members])
+                starts = np.r_[0, np.cumsum(sizes)[:-1]]
+                flat = np.concatenate(members)
+                for row in left.as_py():
+                    own = np.sort(np.array(row["set"], dtype=np.int64))
+                    at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                    both = np.add.reduceat((own[at] == flat).astype(np.int64), starts)
+                    hit = np.flatnonzero(100 * both >= percent * (len(own) + sizes - both))
+                    if len(hit):
+                        p, q = row["cls"], names[hit[0]]
                         u.append(min(p, q))
                         v.append(max(p, q))
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.string()), pa.array(v, pa.string())], names=["u", "v"])
 
-    return a.join(b, ["bucket", "i", "j"]).select("a", "b").mapInArrow(meet, "u string, v string").distinct()
+    return a.join(b, keys).select("a", "b").mapInArrow(compare, "u string, v string")
 
 
 def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -221,21 +282,26 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         )
     )
     member = classes.select("cls", F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
+    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     found = stored(member.join(shared, "bucket"))
-    close = classes.join(found.select("cls").distinct(), "cls", "left_semi")
+    fame = found.groupBy("cls").agg(F.sum("n").alias("fame"))
+    close = classes.join(fame, "cls")
     texts = own.join(close.select("rep.k_id", "rep.k_fp"), ["k_id", "k_fp"], "left_semi").dropDuplicates(["k_id", "k_fp"])
     sets = stored(texts.select("text").mapInArrow(_sets(width), "cls string, set array<long>"))
-    state = close.select("cls", "n_shingles", "sig")
-    links, roots = None, state.select("cls", F.col("cls").alias("root"))
-    for step in (1, 2, 3):
-        if step < 3:
-            buckets = found.join(roots, "cls")
-            pairs = _to_leader(buckets, step)
+    state = stored(close.select("cls", "n_shingles", "sig", "fame"))
+    roots = state.select("cls", F.col("cls").alias("root"))
+    links: DataFrame | None = None
+    for step in ("leaders", "likeliest", "components"):
+        buckets = found.select("bucket", "cls").join(roots, "cls").join(state, "cls")
+        if step == "leaders":
+            new = _confirm(_to_leader(buckets), sets, percent)
         else:
-            buckets = found.join(roots, "cls").join(state, "cls")
-            pairs = _rest(buckets)
-        new = stored(_confirm(pairs, sets, percent))
+            near = stored(_plausible(buckets))
+            if step == "likeliest":
+                new = _confirm(near.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), sets, percent)
+            else:
+                new = _with_component(near.select("x", "root"), roots, sets, percent)
+        new = stored(new)
         links = new if links is None else links.unionByName(new)
         tied = components(links).select(F.col("id").alias("cls"), F.col("root").alias("r"))
         roots = stored(state.select("cls").join(tied, "cls", "left").select("cls", F.coalesce("r", "cls").alias("root")))
