@@ -97,7 +97,7 @@ def search(postings: DataFrame, windows: DataFrame, slop: int = 0) -> DataFrame:
     )
     plan = stored(plan.select("win", "length", "rare.term", F.col("rare.off").alias("at"), "rest"))
     places = postings.join(plan, "term").select("k_id", "k_fp", "win", "length", (F.col("pos") - F.col("at")).alias("start"), "rest")
-    places = places.filter((F.col("start") >= 0) | F.lit(slop > 0))
+    places = places.filter((F.col("start") >= 0) | F.lit(slop > 0)).distinct()  # repeated rows share their key
     asked = places.select("k_id", "k_fp", "win", "length", "start", F.size("rest").alias("need"), F.explode_outer("rest").alias("r"))
     asked = asked.select("k_id", "k_fp", "win", "length", "start", "need", "r.off", "r.term")
     if slop:
@@ -108,7 +108,7 @@ def search(postings: DataFrame, windows: DataFrame, slop: int = 0) -> DataFrame:
     done = asked.filter("need = 0").select("k_id", "k_fp", "win", "length", "start").distinct().withColumn("exact", F.lit(True))
     met = asked.filter("need > 0").join(postings, ["k_id", "k_fp", "term", "pos"])
     found = met.groupBy("k_id", "k_fp", "win", "length", "start", "need").agg(
-        F.sum((F.col("shift") == 0).cast("int")).alias("same"), F.count_distinct("off").alias("some") if slop else F.lit(0).alias("some")
+        F.size(F.collect_set(F.when(F.col("shift") == 0, F.col("off")))).alias("same"), F.size(F.collect_set("off")).alias("some")
     )
     exact = (F.col("same") == F.col("need")).alias("exact")
     kept = found.filter(F.greatest("same", "some") == F.col("need"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hearken.llm import chat_tree, decontaminate, html_text, minhash, packing, pii, quality_mcd, token_counts, toxicity, url_rules
 from hearken.llm.common import table
+from hearken.llm.sql import SQL  # noqa: F401
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 #: A caller's secret in production; fixed here so that results can be compared.
@@ -71,4 +72,3 @@ QUERIES = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_pii_pseudonyms": op10_pii_pseudonyms,
 }
-SQL: dict[str, str] = {}

@@ -106,7 +106,7 @@ def pruned(rules: list[tuple[tuple[str, ...], str, float, int]]) -> list[tuple[t
 
 
 def match(rows: DataFrame, rules: list[tuple[tuple[str, ...], str, float, int]], columns: list[str]) -> DataFrame:
-    """``columns`` of ``rows`` plus ``mined`` (the verdict) and ``by`` (the tokens) of the surest rule whose tokens the row has."""
+    """``columns`` of ``rows`` plus ``mined`` (the verdict) and ``mined_from`` (the tokens) of the surest rule whose tokens the row has."""
     index: dict[str, list[int]] = defaultdict(list)
     for k, (t, *_) in enumerate(rules):
         for x in t:
@@ -128,17 +128,17 @@ def match(rows: DataFrame, rules: list[tuple[tuple[str, ...], str, float, int]],
                 found.append(seen[known])
             mined = pa.array([None if k is None else rules[k][1] for k in found], pa.string())
             by = pa.array([None if k is None else " ".join(rules[k][0]) for k in found], pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), mined, by], names=[*columns, "mined", "by"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), mined, by], names=[*columns, "mined", "mined_from"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in columns)
-    return rows.select(*columns, "tokens").mapInArrow(run, f"{schema}, mined string, by string")
+    return rows.select(*columns, "tokens").mapInArrow(run, f"{schema}, mined string, mined_from string")
 
 
 def judge(
     pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, labelled: DataFrame | None = None,
     support: float = 0.005, confidence: float = 0.9, default: str = "allow",
 ) -> DataFrame:
-    """page_id, host, path, rule, verdict and by (the mined combination that decided) per page.
+    """page_id, host, path, rule, verdict and mined_from (the combination that decided) per page.
 
     ``labelled`` has (url, label) with the labels allow and block; without it the pages
     that a given rule fits are the labelled ones.
@@ -153,4 +153,4 @@ def judge(
     learned = pruned([(tuple(r.tokens), r.verdict, r.confidence, r.n) for r in mine(known, support, confidence).toLocalIterator()])
     own = own.select("page_id", "host", "path", F.col("given.rule").alias("rule"), F.col("given.verdict").alias("said"), "tokens")
     out = match(own, learned, ["page_id", "host", "path", "rule", "said"])
-    return out.select("page_id", "host", "path", "rule", F.coalesce("said", "mined", F.lit(default)).alias("verdict"), F.when(F.col("said").isNull(), F.col("by")).alias("by"))
+    return out.select("page_id", "host", "path", "rule", F.coalesce("said", "mined", F.lit(default)).alias("verdict"), F.when(F.col("said").isNull(), F.col("mined_from")).alias("mined_from"))
