@@ -174,8 +174,9 @@ def _to_leader(buckets: DataFrame) -> DataFrame:
 def _plausible(buckets: DataFrame) -> DataFrame:
     """(x, root, y): for members of a bucket and every other component in it whose signatures could belong to linked sets, the likeliest partner.
 
-    Members outside the bucket's largest component are compared with all members. Both
-    sides are cut into blocks, so a bucket of any size is many bounded tasks.
+    Members outside the bucket's largest component are compared with all members, each pair
+    only in the first band that it shares. Both sides are cut into blocks, so a bucket of
+    any size is many bounded tasks.
     """
     part = buckets.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     main = part.groupBy("bucket").agg(
@@ -184,31 +185,34 @@ def _plausible(buckets: DataFrame) -> DataFrame:
     sized = buckets.join(main, "bucket").withColumns(
         {"nl": _blocks("few", BLOCK), "nr": _blocks("all", BLOCK), "row": F.struct("cls", "root", "n_shingles", "sig")}
     )
-    ask = sized.filter("root <> main").select("bucket", _block("cls", "nl").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("j"), "row")
-    told = sized.select("bucket", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("i"), _block("cls", "nr").alias("j"), "row")
-    a = ask.groupBy("bucket", "i", "j").agg(F.collect_list("row").alias("a"))
-    b = told.groupBy("bucket", "i", "j").agg(F.collect_list("row").alias("b"))
+    ask = sized.filter("root <> main").select("bucket", "band", _block("cls", "nl").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("j"), "row")
+    told = sized.select("bucket", "band", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("i"), _block("cls", "nr").alias("j"), "row")
+    keys = ["bucket", "band", "i", "j"]
+    a = ask.groupBy(*keys).agg(F.collect_list("row").alias("a"))
+    b = told.groupBy(*keys).agg(F.collect_list("row").alias("b"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for left, right in zip(batch.column("a"), batch.column("b")):
+            for band, left, right in zip(batch.column("band").to_pylist(), batch.column("a"), batch.column("b")):
                 x, y = left.as_py(), right.as_py()
                 sx, sy = (np.frombuffer(b"".join(r["sig"] for r in z), dtype=np.uint8).reshape(len(z), -1) for z in (x, y))
                 nx, ny = (np.array([r["n_shingles"] for r in z]) for z in (x, y))
                 ry = np.array([r["root"] for r in y])
                 for k in range(len(x)):
                     at = np.flatnonzero((np.minimum(nx[k], ny) * 5 >= np.maximum(nx[k], ny) * 4) & (ry != x[k]["root"]))
-                    same = (sy[at] == sx[k]).sum(axis=1)
+                    equal = sy[at] == sx[k]
+                    same = equal.sum(axis=1)
+                    here = (same >= AGREE) & (equal.reshape(len(at), BANDS, ROWS).all(axis=2).argmax(axis=1) == band)
                     best: dict[str, tuple[int, str]] = {}
-                    for m, n in zip(at[same >= AGREE], same[same >= AGREE]):
+                    for m, n in zip(at[here], same[here]):
                         best[ry[m]] = max(best.get(ry[m], (0, "")), (int(n), y[m]["cls"]))
                     out += [(x[k]["cls"], r, n, c) for r, (n, c) in best.items()]
             cols = list(zip(*out)) or [[]] * 4
             types = (pa.string(), pa.string(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["x", "root", "n", "y"])
 
-    met = a.join(b, ["bucket", "i", "j"]).select("a", "b").mapInArrow(meet, "x string, root string, n int, y string")
+    met = a.join(b, keys).select("band", "a", "b").mapInArrow(meet, "x string, root string, n int, y string")
     return met.groupBy("x", "root").agg(F.max(F.struct("n", "y")).alias("b")).select("x", "root", "b.y")
 
 
@@ -281,7 +285,7 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
             F.min(order).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig")
         )
     )
-    member = classes.select("cls", F.explode("bands").alias("bucket"))
+    member = classes.select("cls", F.posexplode("bands").alias("band", "bucket"))
     shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     found = stored(member.join(shared, "bucket"))
     fame = found.groupBy("cls").agg(F.sum("n").alias("fame"))
@@ -292,7 +296,7 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     roots = state.select("cls", F.col("cls").alias("root"))
     links: DataFrame | None = None
     for step in ("leaders", "likeliest", "components"):
-        buckets = found.select("bucket", "cls").join(roots, "cls").join(state, "cls")
+        buckets = found.select("bucket", "band", "cls").join(roots, "cls").join(state, "cls")
         if step == "leaders":
             new = _confirm(_to_leader(buckets), sets, percent)
         else:

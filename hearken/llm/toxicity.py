@@ -220,7 +220,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, cap: int =
             out = []
             for text in batch.column("text"):
                 x = intercept + sum(weights[k] * min(cap, n) for k, n in votes.of(text.as_py()).items())
-                out.append(1 / (1 + math.exp(-max(-500.0, min(500.0, x)))))
+                out.append(0.0 if x == -math.inf else 1 / (1 + math.exp(-max(-500.0, min(500.0, x)))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(out, pa.float64())], names=["doc_id", "held_out", "score"])
 
     held = F.coalesce(~is_training(F.col("doc_id")), F.lit(False)).alias("held_out")
