@@ -25,7 +25,7 @@ def d30n(spark, sf):
 
 @check("e6_frame_rms", f"""WITH {A.SAMPLES}, ln AS (SELECT series, max(i) + 1 AS len FROM samples GROUP BY 1),
     fr AS (SELECT series, len, unnest(range(0, CAST(1 + ceil(greatest(len - 48, 0) / 20.0) AS BIGINT))) AS frame FROM ln),
-    e AS (SELECT f.series, f.frame, sum(value * value) AS e FROM fr f JOIN samples s ON s.series = f.series AND s.i >= f.frame * 20 AND s.i < f.frame * 20 + 48 GROUP BY 1, 2)
+    e AS (SELECT f.series, f.frame, coalesce(sum(value * value), 0) AS e FROM fr f LEFT JOIN samples s ON s.series = f.series AND s.i >= f.frame * 20 AND s.i < f.frame * 20 + 48 GROUP BY 1, 2)
     SELECT series, frame, {r('sqrt(e / 48.0 + 1e-12)')} AS rms, {r('20.0 * log10(sqrt(e / 48.0 + 1e-12) + 1e-12)')} AS db FROM e""")
 def e6(spark, sf):
     return tidy(S.frame_rms(A.samples(spark, sf), ["series"], 48, 20))

@@ -64,5 +64,3 @@ RECOMMENDED_FEATURES = (
 HOT_GROUP_ROWS = 500_000
 # Rows per side of one block in blocked pair reductions.
 PAIR_BLOCK_ROWS = 1024
-# Most folds for which exclusion sets (all subsets up to size three) are built.
-MAX_FOLDS = 64

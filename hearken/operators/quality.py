@@ -22,8 +22,12 @@ def require_columns(df: DataFrame, columns: Sequence[str], allow_empty: bool = T
 
 
 def as_number(col: Column) -> Column:
-    """Numeric value or NULL; never raises under ANSI mode."""
-    return F.try_cast(col, "double") if hasattr(F, "try_cast") else col.try_cast("double")
+    """Numeric value or NULL; never raises under ANSI mode.
+
+    NaN is a missing value and becomes NULL here, at the boundary, so that no aggregate ever
+    meets one. Infinities stay: validation rejects them, lenient feature tables null them.
+    """
+    return F.nanvl(col.try_cast("double"), F.lit(None).cast("double"))
 
 
 def is_count(col: Column) -> Column:
@@ -71,7 +75,7 @@ def violations(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
             F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(r)) for r, c in rules.items()]), lambda r: r.isNotNull())
         ).alias("rule"),
     )
-    duplicates = keyed_join(typed.select(*keys), repeated_keys(typed, keys), keys).select(
+    duplicates = keyed_join(typed.select(*keys), repeated_keys(typed, keys), keys, nulls=True).select(
         *keys, F.lit("duplicate_key").alias("rule")
     )
     return flagged.unionByName(duplicates).select("rule", *keys)

@@ -68,7 +68,7 @@ def x_to_device_subdir(
     keys: Sequence[str] = ("name", "subdir"),
     limit: int | None = HOT_GROUP_ROWS,
 ) -> DataFrame:
-    """One row per (device, subdir): mean, median, spread and standard error of every item feature."""
+    """One row per (device, subdir): mean, median, spread and standard error of every item feature; NaN is missing."""
     require_columns(df, [*keys, "audio_index", "n_windows"])
     if features is None:
         features = feature_columns(df, [*keys, "audio_index", "original_file", "test_files", "n_windows"])
@@ -81,7 +81,8 @@ def x_to_device_subdir(
             std.alias(f"{c}_between_audio_std"),
             F.when(F.count(v) > 0, std / F.sqrt(F.greatest(F.count(v), F.lit(1)))).alias(f"{c}_standard_error"),
         ]
-    return aggregate_with_quantiles(df, keys, aggs, {f"{c}_device_median": (c, 0.5) for c in features}, limit)
+    clean = df.withColumns({c: as_number(F.col(c)) for c in features})
+    return aggregate_with_quantiles(clean, keys, aggs, {f"{c}_device_median": (c, 0.5) for c in features}, limit)
 
 
 def windows_to_x_metrics(df: DataFrame) -> DataFrame:
@@ -92,6 +93,6 @@ def windows_to_x_metrics(df: DataFrame) -> DataFrame:
     source = {"kl": "kl_mean", "js": "js_mean", "l2": "l2", "cosim": "cos_sim"}
     aggs = [F.count(F.lit(1)).alias("n_windows")]
     for m in METRICS:
-        v = F.col(source[m.key])
+        v = as_number(F.col(source[m.key]))
         aggs += [F.avg(v).alias(m.mean), F.coalesce(F.var_samp(v), F.lit(0.0)).alias(m.var)]
     return df.withColumn("x", F.col("audio_index")).groupBy("name", "subdir", "x").agg(*aggs)

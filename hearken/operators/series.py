@@ -33,7 +33,9 @@ def normalize_level(samples: DataFrame, keys: Sequence[str], value: str = "value
 
 
 def frame_rms(samples: DataFrame, keys: Sequence[str], frame_len: int, hop: int, index: str = "i", value: str = "value") -> DataFrame:
-    """RMS of overlapping frames; the tail is padded with zeros.
+    """RMS of overlapping frames; the tail and missing samples count as zeros.
+
+    Every frame of the series has a row, also one in which no sample falls.
 
     A sample belongs to at most ceil(frame_len / hop) frames. It is sent to those
     frames and summed map-side, so no series is ever gathered in one task.
@@ -45,13 +47,10 @@ def frame_rms(samples: DataFrame, keys: Sequence[str], frame_len: int, hop: int,
     first = F.greatest(F.lit(0), F.ceil((i - frame_len + 1) / F.lit(float(hop))))
     last = F.floor(i / F.lit(float(hop)))
     hits = samples.withColumn("frame", F.explode(F.when(first <= last, F.sequence(first, last))))
-    sums = hits.groupBy(*keys, "frame").agg(F.sum(F.col(value) * F.col(value)).alias("__e"))
-    rms = F.sqrt(F.col("__e") / float(frame_len) + TINY)
-    return (
-        keyed_join(sums, ends, keys)
-        .filter(F.col("frame") < F.col("__nf"))
-        .select(*keys, F.col("frame").cast("long").alias("frame"), rms.alias("rms"), (20.0 * F.log10(rms + TINY)).alias("db"))
-    )
+    sums = hits.groupBy(*keys, F.col("frame").cast("long").alias("frame")).agg(F.sum(F.col(value) * F.col(value)).alias("__e"))
+    rms = F.sqrt(F.coalesce("__e", F.lit(0.0)) / float(frame_len) + TINY)
+    grid = ends.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__nf") - 1)).alias("frame"))
+    return keyed_join(grid, sums, [*keys, "frame"], "left").select(*keys, "frame", rms.alias("rms"), (20.0 * F.log10(rms + TINY)).alias("db"))
 
 
 def silence_segments(

@@ -29,9 +29,11 @@ BINS_PER_OCTAVE = 512
 _BIN_OFFSET = 1100 * BINS_PER_OCTAVE
 
 
-def keyed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", small: bool = False) -> DataFrame:
-    """Join on ``keys`` where NULL matches NULL; the right-hand keys are dropped.
+def keyed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", small: bool = False, nulls: bool = False) -> DataFrame:
+    """Join on ``keys``; the right-hand keys are dropped.
 
+    Keys are compared with plain equality, so that a join of two aggregates on the same keys
+    needs no further shuffle. ``nulls`` lets NULL match NULL, at the price of that shuffle;
     ``small`` marks a right side whose size is bounded by construction.
     """
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
@@ -41,7 +43,7 @@ def keyed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     else:
         cond = None
         for k in keys:
-            c = F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+            c = F.col(k).eqNullSafe(F.col(f"__r_{k}")) if nulls else F.col(k) == F.col(f"__r_{k}")
             cond = c if cond is None else cond & c
     out = left.join(F.broadcast(renamed) if small else renamed, cond, how)
     return out.drop(*[f"__r_{k}" for k in keys], "__l_one", "__r_one")
@@ -65,7 +67,10 @@ def hot_groups(df: DataFrame, keys: Sequence[str], limit: int | None = HOT_GROUP
 
 def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of ordinary groups and rows of the groups listed in ``hot``."""
-    return keyed_join(df, hot, keys, "left_anti", small=True), keyed_join(df, hot, keys, "left_semi", small=True)
+    return (
+        keyed_join(df, hot, keys, "left_anti", small=True, nulls=True),
+        keyed_join(df, hot, keys, "left_semi", small=True, nulls=True),
+    )
 
 
 def value_bin(value: Column) -> Column:
@@ -102,7 +107,7 @@ def prefix_counts(df: DataFrame, keys: Sequence[str], value: str, weight: Column
     )
     in_bin = Window.partitionBy(*keys, "__bin").orderBy(value)
     return (
-        keyed_join(distinct, carry, [*keys, "__bin"])
+        keyed_join(distinct, carry, [*keys, "__bin"], nulls=True)
         .withColumn("n_le", F.col("__carry") + F.sum("__n").over(in_bin))
         .withColumn("n_lt", F.col("n_le") - F.col("__n"))
         .select(*keys, value, "n_lt", "n_le", F.col("__total").alias("n_total"))
@@ -114,7 +119,7 @@ def counts_at(population: DataFrame, points: DataFrame, keys: Sequence[str], val
     tagged = population.select(*keys, value, F.lit(1).alias("__w")).unionByName(
         points.select(*keys, value, F.lit(0).alias("__w"))
     )
-    return keyed_join(points, prefix_counts(tagged, keys, value, F.col("__w")), [*keys, value], "left")
+    return keyed_join(points, prefix_counts(tagged, keys, value, F.col("__w")), [*keys, value], "left", nulls=True)
 
 
 def long_values(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -176,10 +181,10 @@ def aggregate_with_quantiles(
     hot_out = hot.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"), *aggs).filter("__rows > 0").drop("__rows")
     for out, column in distinct.items():
         counted = hot.select(*keys, column).distinct().groupBy(*keys).agg(F.count(column).alias(out))
-        hot_out = keyed_join(hot_out, counted, keys, "left")
+        hot_out = keyed_join(hot_out, counted, keys, "left", nulls=True)
     columns = sorted({c for c, _ in wanted.values()})
     counts = prefix_counts(long_values(hot, keys, columns), [*keys, "__c"], "__v")
-    hot_out = keyed_join(hot_out, pick_quantiles(counts, keys, wanted), keys, "left")
+    hot_out = keyed_join(hot_out, pick_quantiles(counts, keys, wanted), keys, "left", nulls=True)
     out = plain(cold)
     ordered = [c for c in out.columns if c not in names] + names
     return out.select(*ordered).unionByName(hot_out.select(*ordered))
@@ -201,7 +206,7 @@ def average_rank(
     ranked = prefix_counts(df, keys, value).select(
         *keys, value, ((F.col("n_lt") + F.col("n_le") + 1) / 2.0).alias(rank), F.col("n_total").alias(count)
     )
-    return keyed_join(df, ranked, [*keys, value], "left")
+    return keyed_join(df, ranked, [*keys, value], "left", nulls=True)
 
 
 def pair_sums(
@@ -223,7 +228,7 @@ def pair_sums(
     """
     sizes = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("__nb"))
     blocks = (
-        keyed_join(df, sizes, keys)
+        keyed_join(df, sizes, keys, nulls=True)
         .withColumn("__b", F.pmod(F.xxhash64(ident), F.col("__nb")).cast("int"))
         .groupBy(*keys, "__nb", "__b")
         .agg(F.collect_list(F.struct(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])).alias("__v"))
@@ -251,7 +256,7 @@ def pair_sums(
             rows.append(kernel(a, b, mask))
         return pd.DataFrame(rows, columns=list(outputs))
 
-    joined = keyed_join(left, right, [*keys, "__lo", "__hi"])
+    joined = keyed_join(left, right, [*keys, "__lo", "__hi"], nulls=True)
     args = [F.col(f"__l{i}") for i in range(n)] + [F.col(f"__s{i}") for i in range(n)]
     partial = joined.select(*keys, reduce_blocks(F.col("__lo") == F.col("__hi"), *args).alias("__p"))
     return partial.groupBy(*keys).agg(*[F.sum(f"__p.{o}").alias(o) for o in outputs])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,12 +25,10 @@ def local_session(app: str = "hearken", cores: str = "*", partitions: int = 8) -
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for cut lineage: the one the cluster names, else a fresh local one (tests only)."""
-    current = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    """Folder for cut lineage: ``spark.checkpoint.dir``, else a folder in the warehouse, which executors share too."""
+    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if current is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("Set spark.checkpoint.dir to a folder every executor can reach")
-        current = tempfile.mkdtemp(prefix="hearken-checkpoint-")
+        current = f"{spark.conf.get('spark.sql.warehouse.dir')}/steps"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(current)
     return current

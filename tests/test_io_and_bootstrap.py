@@ -26,7 +26,7 @@ def test_column_map(spark, tmp_path):
     spec.write_text(json.dumps({"name": "设备", "l2_mean": "L2"}), encoding="utf-8")
     got = T.read_x_metrics(spark, path, str(spec))
     assert {"name", "l2_mean"} <= set(got.columns) and got.count() == len(x)
-    for bad, text in (({"nope": "a"}, "Unknown"), ({"name": "a", "x": "a"}, "One input"), ({"name": "subdir"}, "duplicate")):
+    for bad, text in (({"nope": "a"}, "not a canonical"), ({"name": "a", "x": "a"}, "one input"), ({"name": "subdir"}, "of one name")):
         with pytest.raises(ValueError, match=text):
             T.rename_columns(got, bad)
 

@@ -18,7 +18,8 @@ from hearken.operators import series as S
 from hearken.operators import skew as K
 from hearken.operators import vectors as V
 from hearken.operators.normalize import apply_normalization, fit_normalization, robust_stats
-from hearken.operators.rollup import windows_to_x, x_to_device_subdir
+from hearken.operators.rollup import windows_to_x, windows_to_x_metrics, x_to_device_subdir
+from hearken.plans.lattice import fold_map
 
 
 def test_hot_path_equals_plain_path(spark):
@@ -196,6 +197,45 @@ def test_frames_and_lag(spark):
     assert len(al) == 103 and np.allclose(al.ref_value, al.test_value) and S.check_overlap(df, late, one, ["k"]).first()["overlap"] == 103
 
 
+def test_frames_without_samples_have_a_row(spark):
+    df = spark.createDataFrame([("r", 0, 1.0), ("r", 40, 2.0)], "k string, i int, value double")
+    got = {r["frame"]: r["rms"] for r in S.frame_rms(df, ["k"], 4, 4).collect()}
+    assert sorted(got) == list(range(11))
+    assert np.allclose([got[f] for f in range(11)], [np.sqrt({0: 0.25, 10: 1.0}.get(f, 0.0) + 1e-12) for f in range(11)])
+
+
+def test_join_of_two_aggregates_shuffles_twice(spark):
+    df = spark.range(1000).selectExpr("id % 7 AS k", "id AS v")
+    a, b = df.groupBy("k").agg(F.sum("v").alias("a")), df.groupBy("k").agg(F.max("v").alias("b"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = lambda **o: K.keyed_join(a, b, ["k"], **o).hint("merge")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert plan() <= 2 < plan(nulls=True)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_missing_numbers_never_reach_an_aggregate(spark):
+    """NaN counts as missing in every roll-up, as text and as a number."""
+    cols = "name string, subdir string, audio_index string, original_file string, kl_mean double, kl_var double, js_mean double, js_var double, l2 double, cos_sim double"
+    df = spark.createDataFrame([("d", "s", "1", "f", 2.0, 1.0, 1.0, 1.0, 1.0, 0.5), ("d", "s", "1", "f", float("nan"), 1.0, float("nan"), 1.0, 3.0, 0.7)], cols)
+    x = windows_to_x(df).first()
+    assert (x.kl_mean_audio_mean, x.kl_mean_audio_median, x.kl_mean_audio_max, x.kl_mean_audio_std, x.n_windows) == (2.0, 2.0, 2.0, 0.0, 2)
+    m = windows_to_x_metrics(df).first()
+    assert (m.kl_mean, m.kl_var, m.l2_mean) == (2.0, 0.0, 2.0)
+    items = spark.createDataFrame([("d", "s", "1", 3, 4.0), ("d", "s", "2", 3, float("nan"))], "name string, subdir string, audio_index string, n_windows int, f double")
+    assert x_to_device_subdir(items, ["f"]).first().f_device_mean == 4.0
+    assert Q.violations(spark.createDataFrame([("s", "d", "1", 2, *[float("nan")] * 2, *[0.5] * 6)], "subdir string, name string, x string, n_windows int, l2_mean double, l2_var double, cosim_mean double, cosim_var double, kl_mean double, kl_var double, js_mean double, js_var double")).select("rule").collect() == [("non_numeric",)]
+
+
+def test_leave_one_out_has_no_limit_on_devices(spark):
+    """More devices than any fixed number of folds."""
+    folds = fold_map(spark.range(130).selectExpr("concat('d', id) AS name"), None)
+    assert folds.count() == folds.select("fold").distinct().count() == 130
+
+
 def test_rollup_single_window_and_nulls(spark):
     cols = "name string, subdir string, audio_index string, original_file string, kl_mean double, kl_var double, js_mean double, js_var double, l2 double, cos_sim double"
     rows = [("d", "s", "1", "f", 1.0, 0.1, None, 0.1, 2.0, 0.5), ("d", "s", "2", "f", 1.0, 0.2, 0.3, 0.1, 4.0, 0.1), ("d", "s", "2", "f", 3.0, None, 0.5, 0.1, 8.0, 0.3)]
