@@ -157,12 +157,16 @@ def test_soft_rank_is_a_minimum(spark):
     point = np.abs(rng.normal(1, 1, 7))
     num = [(f(point + eps * e)[0] - f(point - eps * e)[0]) / (2 * eps) for e in np.eye(7)]
     assert np.allclose(num, f(point)[1], rtol=1e-4, atol=1e-6)
-    with pytest.raises(ValueError, match="fit_large"):
-        softrank.GROUP_ROWS, old = 10, softrank.GROUP_ROWS
-        try:
-            softrank.fit_groups(df, ["a"], "t", "w", [(0, "k", 1.0, 1.0)], ["g"])
-        finally:
-            softrank.GROUP_ROWS = old
+    small = df.unionByName(df.filter("name < 'n13'").withColumn("g", F.lit("h"))).unionByName(df.filter("name < 'n12'").withColumn("g", F.lit(None).cast("string")))
+    here = {r["g"]: r for r in softrank.fit_groups(small, ["a", "b", "c"], "t", "w", [(0, "k", 1.0, 4.0)], ["g"]).collect()}
+    softrank.GROUP_ROWS, old = 3, softrank.GROUP_ROWS
+    try:
+        spread = {r["g"]: r for r in softrank.fit_groups(small, ["a", "b", "c"], "t", "w", [(0, "k", 1.0, 4.0)], ["g"]).collect()}
+    finally:
+        softrank.GROUP_ROWS = old
+    assert set(here) == set(spread) == {"g", "h", None}
+    for g in here:
+        assert here[g]["n"] == spread[g]["n"] and np.allclose(here[g]["beta"], spread[g]["beta"], atol=1e-5) and spread[g]["optimality"] < 1e-6
 
 
 def test_ridge_and_fusion_against_numpy(spark):
