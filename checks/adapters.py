@@ -123,10 +123,10 @@ SCORED_OV = f"""{XM}, {OV}, scored_ov AS (SELECT ov.name, overall_human_score AS
 
 
 def tokens(spark: SparkSession, sf: str) -> DataFrame:
-    """Frequencies of part classes per supplier and line number; flags A and R are the two sides."""
+    """Frequencies of part classes per supplier and line number; open and filled lines are the two sides."""
     g = (
-        load(spark, sf, "lineitem").filter(F.col("l_returnflag").isin("A", "R"))
-        .groupBy(F.col("l_suppkey").alias("pair_key"), F.when(F.col("l_returnflag") == "A", "p").otherwise("q").alias("side"),
+        load(spark, sf, "lineitem")
+        .groupBy(F.col("l_suppkey").alias("pair_key"), F.when(F.col("l_linestatus") == "O", "p").otherwise("q").alias("side"),
                  F.col("l_linenumber").cast("long").alias("step"), F.pmod("l_partkey", F.lit(20)).alias("token_id"))
         .agg(F.count(F.lit(1)).alias("c"))
     )
@@ -137,8 +137,8 @@ def tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 TOKENS = """tok AS (SELECT pair_key, side, step, token_id,
     ln(CAST(c AS DOUBLE) / sum(c) OVER (PARTITION BY pair_key, side, step)) AS logprob
-    FROM (SELECT l_suppkey AS pair_key, CASE WHEN l_returnflag = 'A' THEN 'p' ELSE 'q' END AS side, CAST(l_linenumber AS BIGINT) AS step,
-        l_partkey % 20 AS token_id, count(*) AS c FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1, 2, 3, 4) g)"""
+    FROM (SELECT l_suppkey AS pair_key, CASE WHEN l_linestatus = 'O' THEN 'p' ELSE 'q' END AS side, CAST(l_linenumber AS BIGINT) AS step,
+        l_partkey % 20 AS token_id, count(*) AS c FROM lineitem GROUP BY 1, 2, 3, 4) g)"""
 
 
 def vec_pairs(spark: SparkSession, sf: str) -> DataFrame:
