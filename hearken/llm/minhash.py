@@ -274,6 +274,15 @@ def _with_component(wanted: DataFrame, roots: DataFrame, sets: DataFrame, percen
     return a.join(b, keys).select("a", "b").mapInArrow(compare, "u string, v string")
 
 
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (cls, root) with the components that ``links`` (u, v) tie together made one."""
+    if links.isEmpty():
+        return roots
+    ends = links.join(roots.toDF("u", "ru"), "u").join(roots.toDF("v", "rv"), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
+    tied = components(ends).select(F.col("id").alias("root"), F.col("root").alias("to"))
+    return stored(roots.join(tied, "root", "left").select("cls", F.coalesce("to", "root").alias("root")))
+
+
 def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """k_id, k_fp, doc_id, n_shingles, component_id and ``first`` (this row's key represents the component) per document."""
     own = keyed(docs)
@@ -294,21 +303,17 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     sets = stored(texts.select("text").mapInArrow(_sets(width), "cls string, set array<long>"))
     state = stored(close.select("cls", "n_shingles", "sig", "fame"))
     roots = state.select("cls", F.col("cls").alias("root"))
-    links: DataFrame | None = None
-    for step in ("leaders", "likeliest", "components"):
-        buckets = found.select("bucket", "band", "cls").join(roots, "cls").join(state, "cls")
-        if step == "leaders":
-            new = _confirm(_to_leader(buckets), sets, percent)
-        else:
-            near = stored(_plausible(buckets))
-            if step == "likeliest":
-                new = _confirm(near.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), sets, percent)
-            else:
-                new = _with_component(near.select("x", "root"), roots, sets, percent)
-        new = stored(new)
-        links = new if links is None else links.unionByName(new)
-        tied = components(links).select(F.col("id").alias("cls"), F.col("root").alias("r"))
-        roots = stored(state.select("cls").join(tied, "cls", "left").select("cls", F.coalesce("r", "cls").alias("root")))
+    buckets = found.select("bucket", "band", "cls").join(roots, "cls").join(state, "cls")
+    roots = _merged(roots, stored(_confirm(_to_leader(buckets), sets, percent)))
+    buckets = found.select("bucket", "band", "cls").join(roots, "cls").join(state, "cls")
+    near = stored(_plausible(buckets))
+    if not near.isEmpty():
+        pairs = near.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+        roots = _merged(roots, stored(_confirm(pairs, sets, percent)))
+        ends = near.join(roots.toDF("x", "rx"), "x").join(roots.toDF("y", "ry"), "y")
+        open_ = stored(ends.filter("rx <> ry").select("x", F.col("ry").alias("root")).distinct())
+        if not open_.isEmpty():
+            roots = _merged(roots, stored(_with_component(open_, roots, sets, percent)))
     rooted = classes.select("cls", "rep").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("lead"))
     by_class = rooted.join(least, "root").select(F.col("cls").alias("c"), "lead")
