@@ -125,7 +125,7 @@ def build(rows: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     )
     stream = laid.withColumn("start", F.col("place") + carried).drop("part", "place")
     above = F.transform(F.sequence(F.lit(1), (F.length("path") / STEP).cast("int")), lambda k: F.substring(F.col("path"), F.lit(1), k * STEP))
-    below = stream.select(F.explode(above).alias("path"), "length").groupBy("path").agg(F.sum("length").alias("subtree"))
+    below = stored(laid.select(F.explode(above).alias("path"), "length").groupBy("path").agg(F.sum("length").alias("subtree")))
     stream = stream.join(below, "path").withColumn("visible_until", F.col("start") + F.col("subtree")).drop("subtree")
     return stream, grown.select("conv_id", "depth", "path")
 
