@@ -20,8 +20,8 @@ such an opening (skew join).
 
 Edge cases: null texts and roles are empty; rows of a conversation are ordered by turn, then
 role and text, so ties and repeated rows have a defined place; a null conv_id is one
-conversation; a conversation must fit one task, its number of turns and length do not
-matter otherwise; an empty table gives an empty result.
+conversation; a conversation must fit one task, and its paths grow with the square of its
+number of turns; an empty table gives an empty result.
 """
 
 from __future__ import annotations
