@@ -19,7 +19,7 @@ Links are confirmed exactly, and components need only enough links to hold toget
 
 So no plausible pair across components stays untested: a link is lost only if its pair
 shares no band, or agrees in fewer coordinates than ``AGREE``; at a similarity of exactly
-0.8 the chances are 5e-8 and 2e-6, and less above.
+0.8 the chances are 5e-8 and at most 8e-6 (binomial tails), and less above.
 
 Edge cases: a text without words has an empty set and is linked with nothing; null texts
 count as empty; a null doc_id never represents a group that has an id; repeated rows are
@@ -175,15 +175,16 @@ def _plausible(buckets: DataFrame) -> DataFrame:
     """(x, root, y): for members of a bucket and every other component in it whose signatures could belong to linked sets, the likeliest partner.
 
     Members outside the bucket's largest component are compared with all members, each pair
-    only in the first band that it shares. Both sides are cut into blocks, so a bucket of
-    any size is many bounded tasks.
+    only in the first bucket that it shares, told by the keys of the buckets themselves: the
+    bytes of a signature can agree in a band without a common bucket. Both sides are cut into
+    blocks, so a bucket of any size is many bounded tasks.
     """
     part = buckets.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     main = part.groupBy("bucket").agg(
         F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")
     ).filter("parts > 1").select("bucket", "most.root", F.col("all") - F.col("most.n"), "all").toDF("bucket", "main", "few", "all")
     sized = buckets.join(main, "bucket").withColumns(
-        {"nl": _blocks("few", BLOCK), "nr": _blocks("all", BLOCK), "row": F.struct("cls", "root", "n_shingles", "sig")}
+        {"nl": _blocks("few", BLOCK), "nr": _blocks("all", BLOCK), "row": F.struct("cls", "root", "n_shingles", "sig", "bands")}
     )
     ask = sized.filter("root <> main").select("bucket", "band", _block("cls", "nl").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("j"), "row")
     told = sized.select("bucket", "band", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("i"), _block("cls", "nr").alias("j"), "row")
@@ -197,13 +198,14 @@ def _plausible(buckets: DataFrame) -> DataFrame:
             for band, left, right in zip(batch.column("band").to_pylist(), batch.column("a"), batch.column("b")):
                 x, y = left.as_py(), right.as_py()
                 sx, sy = (np.frombuffer(b"".join(r["sig"] for r in z), dtype=np.uint8).reshape(len(z), -1) for z in (x, y))
+                bx, by = (np.array([r["bands"] for r in z], dtype=np.int64) for z in (x, y))
                 nx, ny = (np.array([r["n_shingles"] for r in z]) for z in (x, y))
                 ry = np.array([r["root"] for r in y])
                 for k in range(len(x)):
                     at = np.flatnonzero((np.minimum(nx[k], ny) * 5 >= np.maximum(nx[k], ny) * 4) & (ry != x[k]["root"]))
-                    equal = sy[at] == sx[k]
-                    same = equal.sum(axis=1)
-                    here = (same >= AGREE) & (equal.reshape(len(at), BANDS, ROWS).all(axis=2).argmax(axis=1) == band)
+                    same = (sy[at] == sx[k]).sum(axis=1)
+                    at, same = at[same >= AGREE], same[same >= AGREE]
+                    here = (by[at] == bx[k]).argmax(axis=1) == band
                     best: dict[str, tuple[int, str]] = {}
                     for m, n in zip(at[here], same[here]):
                         best[ry[m]] = max(best.get(ry[m], (0, "")), (int(n), y[m]["cls"]))
@@ -301,9 +303,9 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     close = classes.join(fame, "cls")
     texts = own.join(close.select("rep.k_id", "rep.k_fp"), ["k_id", "k_fp"], "left_semi").dropDuplicates(["k_id", "k_fp"])
     sets = stored(texts.select("text").mapInArrow(_sets(width), "cls string, set array<long>"))
-    state = stored(close.select("cls", "n_shingles", "sig", "fame"))
+    state = stored(close.select("cls", "n_shingles", "sig", "bands", "fame"))
     roots = state.select("cls", F.col("cls").alias("root"))
-    buckets = found.select("bucket", "band", "cls").join(roots, "cls").join(state, "cls")
+    buckets = found.select("bucket", "band", "cls").join(roots, "cls").join(state.select("cls", "fame"), "cls")
     roots = _merged(roots, stored(_confirm(_to_leader(buckets), sets, percent)))
     buckets = found.select("bucket", "band", "cls").join(roots, "cls").join(state, "cls")
     near = stored(_plausible(buckets))

@@ -141,6 +141,18 @@ def test_signature_estimates_similarity():
     assert abs((x == y).mean() - 0.8) < 0.05
 
 
+def test_chance_agreement_of_bytes_does_not_hide_a_pair(spark):
+    """x and y share bucket 7 alone; their bytes also agree in band 2, where their keys differ."""
+    def row(cls, root, own):
+        bands = [1000 * own + k for k in range(minhash.BANDS)]
+        bands[7] = 77
+        return (77, 7, cls, root, 50, bytearray(1 if k < 12 or k >= 28 or own == 1 else 2 for k in range(minhash.COORDINATES)), bands)
+
+    rows = [row("x", "rx", 1), row("y", "ry", 2), row("z", "ry", 2)]
+    frame = spark.createDataFrame(rows, "bucket long, band int, cls string, root string, n_shingles long, sig binary, bands array<long>")
+    assert [(r.x, r.root) for r in minhash._plausible(frame).collect()] == [("x", "ry")]
+
+
 def words8(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
