@@ -27,6 +27,8 @@ from hearken.session import materialise
 
 BINS_PER_OCTAVE = 512
 _BIN_OFFSET = 1100 * BINS_PER_OCTAVE
+#: Above the bin of every finite double.
+_INFINITE_BIN = 2200 * BINS_PER_OCTAVE
 
 
 def keyed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", small: bool = False, nulls: bool = False) -> DataFrame:
@@ -77,9 +79,11 @@ def value_bin(value: Column) -> Column:
     """Monotone integer bin of a double, fixed by the value alone.
 
     512 bins per power of two, so a column spreads over many tasks while the
-    number of bins stays under about two million whatever the data.
+    number of bins stays under about two million whatever the data. Infinities have
+    the outermost bins, and NaN one above them, as Spark orders it.
     """
-    exponent = F.floor(F.log2(F.abs(value)) * BINS_PER_OCTAVE) + _BIN_OFFSET
+    finite = F.floor(F.log2(F.abs(value)) * BINS_PER_OCTAVE) + _BIN_OFFSET
+    exponent = F.when(F.isnan(value), _INFINITE_BIN + 1).when(F.abs(value) == float("inf"), _INFINITE_BIN).otherwise(finite)
     return F.when(value > 0, exponent).when(value < 0, -exponent).otherwise(F.lit(0)).cast("long")
 
 
@@ -129,7 +133,11 @@ def long_values(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> D
 
 
 def pick_quantiles(counted: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
-    """Linear quantiles read off prefix counts; NULL for a column without values."""
+    """Linear quantiles read off prefix counts; NULL for a column without values.
+
+    Interpolation is written as in Spark's ``percentile``, which keeps an infinity where
+    ``lo + (hi - lo) * f`` would make it NaN.
+    """
     aggs = []
     for name, (column, p) in wanted.items():
         at = (F.col("n_total") - 1) * F.lit(float(p))
@@ -141,7 +149,8 @@ def pick_quantiles(counted: DataFrame, keys: Sequence[str], wanted: dict[str, tu
         ]
     picked = counted.groupBy(*keys).agg(*aggs)
     lo, hi, f = (lambda n: F.col(f"{n}__lo")), (lambda n: F.col(f"{n}__hi")), (lambda n: F.col(f"{n}__f"))
-    return picked.select(*keys, *[(lo(n) + (hi(n) - lo(n)) * f(n)).alias(n) for n in wanted])
+    between = lambda n: F.when(lo(n) == hi(n), lo(n)).otherwise((1 - f(n)) * lo(n) + f(n) * hi(n))
+    return picked.select(*keys, *[between(n).alias(n) for n in wanted])
 
 
 def aggregate_with_quantiles(

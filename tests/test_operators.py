@@ -36,6 +36,19 @@ def test_hot_path_equals_plain_path(spark):
     assert len(g) == 1 and g.p50[0] == pytest.approx(np.median([v for _, v in rows if v is not None]))
 
 
+def test_infinities_on_both_sides_of_the_limit(spark):
+    inf = float("inf")
+    groups = {"top": [1.0, 2.0, 3.0, inf], "low": [-inf, 1.0, 2.0, 3.0], "both": [-inf, -inf, 0.0, 5.0, inf], "ends": [-inf, inf], "all": [inf, inf, inf], "nan": [1.0, inf, float("nan")]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double")
+    want = {f"p{int(p*100)}": ("v", p) for p in (0.0, 0.1, 0.5, 0.9, 1.0)}
+    plain, hot = (K.aggregate_with_quantiles(df, ["g"], [F.count("v").alias("n")], want, limit=n).orderBy("g").toPandas() for n in (None, 1))
+    pd.testing.assert_frame_equal(hot[plain.columns], plain)
+    by = plain.set_index("g")
+    assert by.p50["top"] == 2.5 and by.p90["top"] == inf and by.p10["low"] == -inf and np.isnan(by.p50["ends"]) and by.p10["all"] == inf
+    plain, hot = (robust_stats(df, ["g"], ["v"], n).orderBy("g").toPandas() for n in (None, 1))
+    pd.testing.assert_frame_equal(hot[plain.columns], plain)
+
+
 def test_robust_stats_cascade_both_paths(spark):
     groups = {"mad": [1, 2, 3, 4, 9], "iqr": [5, 5, 5, 5, 5, 6, 7, 8], "std": [2, 2, 2, 2, 2, 2, 2, 2, 9], "constant": [4, 4, 4], "lone": [3]}
     df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs], "g string, v double")
