@@ -2,8 +2,10 @@
 
 Pages are read into a light element tree by one regular expression; no page is ever an
 error. Elements that hold no article text (scripts, navigation, forms, asides, adverts,
-comments of readers …) are dropped by tag, role and class words. What is left is a list of
-text blocks in page order, each with the hashes of the element subtrees around it.
+comments of readers …) are dropped by tag, role and class words. A class word alone drops
+no element that holds all ``article`` and ``main`` elements of the page or, on a page
+without any, more than half of its text. What is left is a list of text blocks in page
+order, each with the hashes of the element subtrees around it.
 
 A subtree's hash covers its tags and its text. For every host Spark counts on how many
 *different* pages a subtree occurs; subtrees on at least ``share`` of them, ``least`` pages
@@ -38,7 +40,8 @@ TOKEN = re.compile(
     r"|<[!?][^>]*(?:>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|([^<]+|<)",
     re.I | re.S,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute after the other, each with its whole value, so that words of values are never taken for names.
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?|\"[^\"]*\"|'[^']*'")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
@@ -58,35 +61,59 @@ WORD = re.compile(r"[a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "drop", "digest", "main", "first", "parent", "held")
+    __slots__ = ("tag", "drop", "digest", "main", "first", "parent", "held", "marked")
 
-    def __init__(self, tag: str, drop: bool, first: int, parent: "Node | None"):
-        self.tag, self.drop, self.first, self.parent = tag, drop, first, parent
+    def __init__(self, tag: str, drop: int, first: int, parent: "Node | None", marked: "tuple[Marked, ...]" = ()):
+        self.tag, self.drop, self.first, self.parent, self.marked = tag, drop, first, parent, marked
         self.digest, self.main, self.held = xxhash.xxh3_64(tag), tag in ("article", "main"), 0
 
 
-def _furniture(tag: str, attributes: str, inside: bool) -> bool:
-    """Is the element page furniture? A header of an article (``inside``) is part of it."""
+class Marked:
+    """An element that only a class word marks: its number on the page, and the text and main elements in it."""
+
+    __slots__ = ("number", "chars", "mains")
+
+    def __init__(self, number: int):
+        self.number, self.chars, self.mains = number, 0, 0
+
+
+KEEP, MARKED, DROP = range(3)
+
+
+def _furniture(tag: str, attributes: str, inside: bool) -> int:
+    """Is the element page furniture (``DROP``), or only by a class word (``MARKED``)? A header of an article (``inside``) is part of it."""
     if tag in FURNITURE or (tag == "header" and not inside):
-        return True
+        return DROP
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return KEEP
+    found = KEEP
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in ROLES):
-            return True
+            return DROP
         if name in ("class", "id") and not MARKS.isdisjoint(WORD.findall(value)):
-            return True
-    return False
+            found = MARKED
+    return found
 
 
 def blocks(page: str | None) -> tuple[list[str], list[list[int]]]:
     """Text blocks in page order and, for each, the hashes of the subtrees that may be templates around it."""
+    tokens = TOKEN.findall(page or "")
+    texts, held, spared = _walk(tokens, frozenset())
+    if spared:
+        texts, held, _ = _walk(tokens, spared)
+    return texts, held
+
+
+def _walk(tokens: list[tuple[str, ...]], spared: frozenset[int]) -> tuple[list[str], list[list[int]], frozenset[int]]:
+    """As ``blocks``, with the numbers of the marked elements that must be kept; those in ``spared`` are."""
     texts: list[str] = []
+    marks: list[Marked] = []
+    chars = mains = opened = 0
     around: list[list[Node]] = []
     done: dict[int, int] = {}
     parts: list[str] = []
-    top = Node("", False, 0, None)
+    top = Node("", KEEP, 0, None)
     stack = [top]
 
     def flush() -> None:
@@ -107,10 +134,16 @@ def blocks(page: str | None) -> tuple[list[str], list[list[int]]]:
         up.digest.update(b"/")
         done[id(node)] = node.digest.intdigest()
 
-    for raw, end, name, attributes, text in TOKEN.findall(page or ""):
+    for raw, end, name, attributes, text in tokens:
         if text:
-            if not stack[-1].drop:
+            above = stack[-1]
+            if not above.drop:
                 parts.append(html.unescape(text))
+            if above.drop < DROP:
+                n = sum(map(len, text.split()))
+                chars += n
+                for m in above.marked:
+                    m.chars += n
             continue
         if raw or not name:
             if raw and raw.lower() != "title":
@@ -132,8 +165,21 @@ def blocks(page: str | None) -> tuple[list[str], list[list[int]]]:
             if tag not in INLINE:
                 flush()
             above = stack[-1]
-            drop = above.drop or _furniture(tag, attributes, above.tag in ("article", "main") or any(n.tag in ("article", "main") for n in stack))
-            node = Node(tag, drop, len(texts), above)
+            opened += 1
+            own = _furniture(tag, attributes, above.tag in ("article", "main") or any(n.tag in ("article", "main") for n in stack))
+            marked = above.marked
+            if own == MARKED:
+                if opened in spared:
+                    own = KEEP
+                elif above.drop < DROP:
+                    marks.append(Marked(opened))
+                    marked = (*marked, marks[-1])
+            drop = max(above.drop, own)
+            if tag in ("article", "main") and drop < DROP:
+                mains += 1
+                for m in marked:
+                    m.mains += 1
+            node = Node(tag, drop, len(texts), above, marked)
             above.digest.update(f"<{tag}>")
             stack.append(node)
         else:
@@ -147,7 +193,7 @@ def blocks(page: str | None) -> tuple[list[str], list[list[int]]]:
         close(stack[-1])
     flush()
     held = [[done[id(n)] - (1 << 63) for n in ns if not n.main] for ns in around]
-    return texts, held
+    return texts, held, frozenset(m.number for m in marks if (m.mains == mains if mains else 2 * m.chars > chars))
 
 
 PARSED = "host string, url string, page_id long, texts array<string>, trees array<array<long>>"

@@ -32,6 +32,21 @@ def test_blocks(page, want):
     assert text_of(page) == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<div style="overflow:hidden"><p>story</p></div>', "story"), ('<div data-id="share" title="a hidden role=menu">story</div>', "story"), ("<div data-hidden=1>story</div>", "story"),
+        ("<div title = 'x' HIDDEN>gone</div><p>story</p>", "story"), ("<div x=y/ class='a nav'>gone</div><p>story</p>", "story"), ('<div style="a" role=menu><article>gone</article></div>story', "story"),
+        ('<div id="content-with-sidebar"><article>story</article><div class="ad">buy</div></div>', "story"),
+        ('<div class="share"><div class="nav"><main>story</main></div></div><p>more</p>', "story more"),
+        ('<div class="with-sidebar"><p>a long story without an article</p></div><p>more</p>', "a long story without an article more"),
+        ('<article>s</article><div class="comments"><article>a very long comment</article></div>', "s"), ('<div class="ad">buy</div><p>story</p>', "story"),
+    ],
+)
+def test_attributes_and_layout_wrappers(page, want):
+    assert text_of(page) == want
+
+
 def test_templates_of_a_host_go_and_articles_stay(spark):
     pages = [(k, f"http://h.example/{k}", f"<div><p>Welcome to the site</p></div><div><p>story {k} with words</p></div><div><span>All rights</span></div>") for k in range(30)]
     copies = [(100 + k, f"http://h.example/c{k}", "<div><p>one much copied story</p></div>") for k in range(200)]
