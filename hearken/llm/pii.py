@@ -8,6 +8,11 @@ with the key: a card stays a valid card, a date a date. The permutation is E⁻
 so no value ever stays as it is, equal values get equal pseudonyms in all documents, and
 different values of a kind different ones. Values that fail their check are left alone.
 
+Card and account numbers stand among other digits and capitals (an expiry date, a quantity,
+the next word), so a whole run of them is cut at its group borders into all candidates;
+those that validate are taken, of two that overlap an account of its country's length, then
+the longer one. A run ends where a value of another kind begins.
+
 Edge cases: a null text stays null and an empty one empty; the length of a value never
 limits it; repeated rows get equal results; an empty table gives an empty result; other
 columns are carried unchanged whatever their names.
@@ -28,16 +33,34 @@ HEX = "0123456789abcdef"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 SECRET = r"""(?i:(?<![a-z0-9])(?:password|passwd|pwd|secret|api[_-]?key|token)\s{0,3}[=:]\s{0,3}["']?[a-z0-9_+/.-]{8,})"""
 ACCESS_KEY = r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9])"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
 PHONE = r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 DATE = r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d./])\d{1,2}([./])\d{1,2}\1\d{4}(?![\d])"
 IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
-CARD = r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"
+CARD = r"\d(?:[ -]?\d){12,18}"
+DATES = DATE.replace("([./])", "[./]").replace(r"\1", "[./]")
+#: What ends a run of card or account groups.
+OTHER = f"(?!{EMAIL}|{SECRET}|{ACCESS_KEY}|{PHONE}|{SSN}|{DATES}|{IP})"
+CARDS = rf"(?<!\d)\d(?:[ -]?{OTHER}\d){{12,}}+"
+#: The lower-case letter behind a run tells that its last group is no whole word.
+IBANS = rf"(?<![A-Za-z0-9])[A-Z]{{2}}\d{{2}}(?=(?: ?[A-Z0-9]){{8}})(?:[ -]?{OTHER}[A-Z0-9])*+[a-z]?"
+GROUPS = "(?<=[ -])|(?=[ -])|(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])"
+#: A candidate has at most so many groups and joints.
+SPAN = 43
 #: In the order in which a place in the text is tried.
 #: Each group first looks at one or two characters, so most places of a text fail at once.
-NUMBERS = "|".join([PHONE, SSN, DATE.replace("([./])", "[./]").replace(r"\1", "[./]"), IP, CARD])
-ANY = f"{EMAIL}|(?=[pPsSaAtT]){SECRET}|(?=[Ags]){ACCESS_KEY}|(?=[A-Z]{{2}}[0-9]{{2}}){IBAN}|(?=[0-9+(])(?:{NUMBERS})"
+NUMBERS = "|".join([PHONE, SSN, DATES, IP, CARDS])
+ANY = f"{EMAIL}|(?=[pPsSaAtT]){SECRET}|(?=[Ags]){ACCESS_KEY}|(?=[A-Z]{{2}}[0-9]{{2}}){IBANS}|(?=[0-9+(])(?:{NUMBERS})"
+#: Length of account numbers by country.
+LENGTHS = {
+    c[:2]: int(c[2:])
+    for c in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28"
+        " HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29"
+        " RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+    ).split()
+}
 KINDS = ("email", "secret", "access_key", "iban", "phone", "ssn", "date", "ip", "card")
 
 
@@ -173,6 +196,52 @@ def _iban(m: Column, key: str) -> Column:
     return _let(F.replace(m, F.lit(" "), F.lit("")), lambda p: F.when(_mod97(p) == 1, _let(new(p), spaced)))
 
 
+def _numbers(run: Column, key: str) -> Column:
+    """(kinds, new): the card and account numbers of a run, in order, and the run with their pseudonyms; new is null if there are none."""
+    lengths = F.create_map(*[F.lit(x) for c in LENGTHS.items() for x in c])
+    whole = lambda t, k: F.coalesce(~F.get(t, k).rlike("^[A-Za-z0-9]"), F.lit(True))
+
+    def candidates(t: Column) -> Column:
+        def start(at: Column) -> Column:
+            account = F.get(t, at).rlike("^[A-Z]{2}$") & F.coalesce(F.get(t, at + 1).rlike("^[0-9]{2}"), F.lit(False)) & whole(t, at - 1)
+            return F.get(t, at).rlike("^[0-9]") | account
+
+        def judged(c: Column) -> Column:
+            card = c["m"].rlike(f"^{CARD}$") & (_luhn(_digits(c["m"])) % 10 == 0)
+            plain = F.replace(c["m"], F.lit(" "), F.lit(""))
+            account = c["m"].rlike(f"^{IBAN}$") & whole(t, c["b"] + 1) & (_mod97(plain) == 1)
+            known = F.coalesce(lengths[F.substring(plain, F.lit(1), F.lit(2))] == F.length(plain), F.lit(False))
+            return F.struct(
+                F.when(known, 0).otherwise(1).alias("order"), (-F.length(plain)).alias("size"), c["a"].alias("a"), c["b"].alias("b"),
+                F.when(card, "card").when(account, "iban").alias("kind"), c["m"].alias("m"),
+            )
+
+        def ends(a: Column) -> Column:
+            to = F.sequence(a, F.least(a + SPAN, F.size(t) - 1))
+            cut = F.transform(to, lambda b: F.struct(a.alias("a"), b.alias("b"), F.array_join(F.slice(t, a + 1, b - a + 1), "").alias("m")))
+            formed = F.filter(cut, lambda c: c["m"].rlike(f"^(?:{CARD}|{IBAN})$"))
+            return F.filter(F.transform(formed, judged), lambda c: c["kind"].isNotNull())
+
+        return F.array_sort(F.flatten(F.transform(F.filter(F.sequence(F.lit(0), F.size(t) - 1), start), ends)))
+
+    def taken(found: Column) -> Column:
+        none = F.array().cast("array<struct<order:int,size:int,a:int,b:int,kind:string,m:string>>")
+        return F.aggregate(found, none, lambda s, c: F.when(F.exists(s, lambda o: (o["a"] <= c["b"]) & (c["a"] <= o["b"])), s).otherwise(F.concat(s, F.array(c))))
+
+    def new(c: Column) -> Column:
+        return F.struct(c["a"].alias("a"), c["b"].alias("b"), c["kind"].alias("kind"), F.when(c["kind"] == "card", _card(c["m"], key)).otherwise(_iban(c["m"], key)).alias("new"))
+
+    def put(t: Column, found: Column) -> Column:
+        def one(g: Column, k: Column) -> Column:
+            hit = F.filter(found, lambda c: (c["a"] <= k) & (k <= c["b"]))
+            return _let(F.get(hit, F.lit(0)), lambda c: F.when(c.isNull(), g).when(c["a"] == k, c["new"]).otherwise(""))
+
+        kinds = F.transform(F.array_sort(found), lambda c: c["kind"])
+        return F.struct(kinds.alias("kinds"), F.when(F.size(found) > 0, F.array_join(F.transform(t, one), "")).alias("new"))
+
+    return _let(F.split(run, GROUPS), lambda t: _let(F.transform(taken(candidates(t)), new), lambda found: put(t, found)))
+
+
 def _ip(m: Column, key: str) -> Column:
     def new(o: Column) -> Column:
         ok = F.forall(o, lambda v: v < 256)
@@ -247,21 +316,22 @@ def _phone(m: Column, key: str) -> Column:
     return _let(code, lambda n: F.concat(n, permute_text(F.substring(m, F.length(n) + 1, F.length(m)), key, "phone")))
 
 
-RULES: dict[str, tuple[str, Callable[[Column, str], Column]]] = {
+#: Form and pseudonym of the kinds; a run of card or account groups has several values.
+RULES: dict[str, tuple[str, Callable[[Column, str], Column] | None]] = {
     "email": (EMAIL, _email),
     "secret": (SECRET, _secret),
     "access_key": (ACCESS_KEY, _access_key),
-    "iban": (IBAN, _iban),
+    "iban": (r"[A-Z]{2}\d{2}[A-Z0-9 -]*+[a-z]?", None),
     "phone": (PHONE, _phone),
     "ssn": (SSN, _ssn),
     "date": (DATE, _date),
     "ip": (IP, _ip),
-    "card": (CARD, _card),
+    "card": (r"\d[\d -]*+", None),
 }
 
 
 def _replace(match: Column, key: str) -> Column:
-    """(kind, new): the first rule whose form the value has; kind is null if its check fails."""
+    """(kinds, new): those of the first rule whose form the value has; new is null if its check fails."""
     kind = F.lit(None).cast("string")
     for name in reversed(KINDS):
         kind = F.when(match.rlike(f"^(?:{RULES[name][0]})$"), name).otherwise(kind)
@@ -269,8 +339,11 @@ def _replace(match: Column, key: str) -> Column:
     def fill(s: Column) -> Column:
         out = F.lit(None).cast("string")
         for name in reversed(KINDS):
-            out = F.when(s["kind"] == name, RULES[name][1](s["m"], key)).otherwise(out)
-        return F.struct(s["kind"].alias("kind"), out.alias("new"), s["m"].alias("m"))
+            if RULES[name][1]:
+                out = F.when(s["kind"] == name, RULES[name][1](s["m"], key)).otherwise(out)
+        one = _let(out, lambda n: F.struct(F.when(n.isNotNull(), F.array(s["kind"])).otherwise(F.array().cast("array<string>")).alias("kinds"), n.alias("new")))
+        both = F.when(s["kind"].isin("iban", "card"), _numbers(s["m"], key)).otherwise(one)
+        return _let(both, lambda r: F.struct(r["kinds"].alias("kinds"), r["new"].alias("new"), s["m"].alias("m")))
 
     return _let(F.struct(kind.alias("kind"), match.alias("m")), fill)
 
@@ -282,7 +355,7 @@ def with_pseudonyms(df: DataFrame, text: Column, key: str) -> DataFrame:
     out = df.withColumn("__found", found)
     around = F.split(text, ANY, -1)
     put = F.zip_with(around, F.col("__found"), lambda p, f: F.concat(p, F.coalesce(f["new"], f["m"], F.lit(""))))
-    kinds = F.transform(F.filter("__found", lambda f: f["new"].isNotNull()), lambda f: f["kind"])
+    kinds = F.flatten(F.transform("__found", lambda f: f["kinds"]))
     return out.withColumns(
         {
             "__text": F.when(F.col("__found").isNull(), text).otherwise(F.array_join(put, "")),

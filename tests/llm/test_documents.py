@@ -217,6 +217,22 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert by[3].text == plain and by[4].text is None and by[5].text == "" and "42.144" not in by[6].text and len(by[6].text) > 50_000
 
 
+def test_cards_and_accounts_among_other_groups(spark):
+    card, spaced, account = "4041894974608795", "4041 8949 7460 8795", "BE68 5390 0754 7034"
+    cases = [
+        (f"card {card} 12/27", 1), (f"{spaced} 123", 1), (f"buy 2 {card}", 1), (f"12 34 {spaced} 123", 1), (f"{account} IS mine", 1), (f"{account} Is", 1),
+        (f"{card} 4111111111111111", 2), (f"{spaced} {spaced}", 2), (f"{account} {spaced}", 2), (f"AB12 {account}", 1), (f"BE68 {spaced}", 1), (f"{account} {account} X", 2),
+        (f"{card} 2024-05-06", 2), (f"{card} 10.20.30.40", 2), (f"{card} 12ann@x.org", 2), (f"{card} 123-45-6789", 2), (f"{card}abc", 1), ("US12 THE ANNUAL REPORT 2024", 0),
+        ("1 " * 3000, 0),
+    ]
+    out = {r.doc_id: r for r in pii.pseudonyms(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string"), "k").collect()}
+    for k, (text, n) in enumerate(cases):
+        assert out[k].n_replaced == n, (text, out[k].text)
+        assert ("." in text or len(out[k].text) == len(text)) and (out[k].text == text) == (n == 0)
+        assert all(hidden not in out[k].text for hidden in (card, "8949 7460", "5390 0754", "4111111111111111", "10.20.30.40", "ann@", "123-45", "2024-05-06"))
+    assert out[0].text.endswith(" 12/27") and out[2].text.startswith("buy 2 ") and out[4].text.endswith(" IS mine")
+
+
 def test_number_permutation_is_one_to_one(spark):
     got = spark.range(0, 73_006).select("id", pii.permute_number(F.col("id"), 211, 346, "k", "date").alias("y"))
     one = got.selectExpr("count(distinct y) n", "min(y) a", "max(y) b", "sum(int(y = id)) same").first()
