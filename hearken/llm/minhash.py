@@ -286,7 +286,12 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """k_id, k_fp, doc_id, n_shingles, component_id and ``first`` (this row's key represents the component) per document."""
+    """k_id, k_fp, doc_id, n_shingles, component_id and ``first`` (this row's key represents the component) per document.
+
+    Bands, ``AGREE`` and the size rules are made for 80 percent; above it they lose less, below it they would lose links.
+    """
+    if percent < 80:
+        raise ValueError(f"percent is {percent}; below 80 the bands and size rules would lose links")
     own = keyed(docs)
     signed = stored(own.mapInArrow(_sign(width), SIGNED))
     named = signed.filter(F.col("cls").isNotNull())

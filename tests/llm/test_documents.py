@@ -153,6 +153,12 @@ def test_chance_agreement_of_bytes_does_not_hide_a_pair(spark):
     assert [(r.x, r.root) for r in minhash._plausible(frame).collect()] == [("x", "ry")]
 
 
+def test_thresholds_that_the_bands_do_not_serve_are_refused(none):
+    for call in (minhash.linked, minhash.near_duplicates, minhash.keep_one):
+        with pytest.raises(ValueError):
+            call(none, 5, 79)
+
+
 def words8(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
