@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hearken.llm import chat_tree, decontaminate, html_text, minhash, packing, pii, quality_mcd, token_counts, toxicity, url_rules
+from hearken.llm import (
+    chat_tree, collocations, decontaminate, html_text, language_id, minhash, packing, pii, quality_mcd, token_counts, toxicity, turn_repair, url_rules,
+)
 from hearken.llm.common import table
 from hearken.llm.settings import BYTE_BPE, PSEUDONYM_KEY
 from hearken.llm.sql import SQL  # noqa: F401
@@ -57,6 +60,20 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonyms(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0)
+    return language_id.identify(docs)
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return turn_repair.digests(turn_repair.edits(turn_repair.damage(rows)), rows)
+
+
 QUERIES = {
     "op1_url_rules": op1_url_rules,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -68,4 +85,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_pii_pseudonyms": op10_pii_pseudonyms,
+    "op11_collocations": op11_collocations,
+    "op12_language_id": op12_language_id,
+    "op13_turn_repair": op13_turn_repair,
 }

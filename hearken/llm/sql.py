@@ -106,4 +106,79 @@ WITH RECURSIVE d AS (
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN comp USING (doc_id)
 """
 
-SQL = {"op1_url_rules": OP1, "op8_decontamination": OP8, "op9_minhash_near_dedup": OP9}
+#: All windows of up to four words, their counts, and every cut and containment by joins.
+OP11 = rf"""
+WITH p AS (
+  SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM (SELECT coalesce(lang, 'und') AS lang, {_LOWER.format("coalesce(text, '')")} AS text FROM documents)
+), w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p
+), n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang
+), f AS (
+  SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, k AS words, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k) GROUP BY ALL HAVING count(*) >= 30
+), cand AS (SELECT lang, phrase, words, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE words > 1
+), cut AS (
+  SELECT c.lang, c.phrase, c.words, c.a, x.f AS l, y.f AS r, CAST(2000000::HUGEINT * c.a // (x.f::HUGEINT + y.f) AS BIGINT) AS score, k
+  FROM (SELECT *, unnest(range(1, words)) AS k FROM cand) c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[k + 1:], ' ')
+), best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_ AS (
+  SELECT lang, array_to_string(ws[i:i + size - 1], ' ') AS phrase, max(a) AS whole
+  FROM (SELECT *, unnest(range(1, words - size + 2)) AS i FROM (SELECT *, unnest(range(2, words)) AS size FROM cand)) GROUP BY ALL
+), kept AS (
+  SELECT b.* FROM best b LEFT JOIN inner_ i USING (lang, phrase) WHERE i.whole IS NULL OR 100 * i.whole::HUGEINT < 80 * a::HUGEINT
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+#: The damage by a bitwise CRC-32, then the cheapest edits row by row with the best audit of each grammar state.
+OP13 = r"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: ord(x)::BIGINT),
+      lambda v, b: list_reduce(range(8), lambda t, i: CASE WHEN t & 1 = 1 THEN xor(t >> 1, 3988292384) ELSE t >> 1 END, xor(v, b)), 4294967295), 4294967295) % 20 AS hit
+  FROM conversations
+), d AS (
+  SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN hit = 1 THEN '' WHEN hit = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN hit = 3 THEN 2 ELSE 1 END))
+  FROM c WHERE hit <> 0
+), s AS (
+  SELECT conv_id, turn, role, text, substr(role, 1, 1) AS initial, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen FROM d
+), o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, seen) AS rn FROM s
+), r AS (
+  SELECT *, CASE WHEN last = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY rn) || initial NOT IN ('su', 'ua', 'au') AS illegal FROM o
+), put(q, paid, letters, said, q2) AS (
+  VALUES (0, 0, '', [], 0), (0, 3, 'I', ['user:'], 2), (0, 6, 'II', ['user:', 'assistant:'], 3), (1, 0, '', [], 1), (1, 3, 'I', ['user:'], 2),
+    (1, 6, 'II', ['user:', 'assistant:'], 3), (2, 0, '', [], 2), (2, 3, 'I', ['assistant:'], 3), (3, 0, '', [], 3), (3, 3, 'I', ['user:'], 2)
+), follow(q, initial, q2) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)
+), move AS (
+  SELECT q, q2, initial, 'K' AS edit, 0 AS paid FROM follow UNION ALL SELECT q, q2, initial, 'R', 3 FROM follow WHERE initial IN ('u', 'a')
+  UNION ALL SELECT q, q, '', 'D', 4 FROM (SELECT unnest([0, 1, 2, 3]) AS q)
+), walk AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS q, 0 AS cost, '' AS audit, []::VARCHAR[] AS said FROM r
+  UNION ALL
+  SELECT * FROM (
+    SELECT w.conv_id, w.i + 1 AS i, m.q2 AS q, w.cost + p.paid + m.paid + CASE WHEN m.edit <> 'D' AND fault = 'truncated' THEN 3 ELSE 0 END AS cost,
+      w.audit || p.letters || m.edit AS audit,
+      list_concat(w.said, p.said, CASE m.edit WHEN 'D' THEN [] WHEN 'K' THEN [role || ':' || text] ELSE [CASE m.initial WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text] END) AS said
+    FROM walk w JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.rn = w.i + 1 JOIN put p ON p.q = w.q JOIN move m ON m.q = p.q2
+    WHERE m.edit = 'D' OR (fault NOT IN ('blank', 'duplicate') AND (m.edit = 'R' OR m.initial = r.initial))
+  ) QUALIFY row_number() OVER (PARTITION BY conv_id, i, q ORDER BY cost, audit) = 1
+), stats AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal, count(*) AS m
+  FROM r GROUP BY conv_id
+), done AS (
+  SELECT w.conv_id, cost + paid AS cost, audit || letters AS audit, sha256(coalesce(array_to_string(list_concat(w.said, p.said), chr(10)), '')) AS h
+  FROM walk w JOIN stats s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND w.i = s.m JOIN put p ON p.q = w.q AND p.q2 IN (0, 3)
+  QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY cost + paid, audit || letters) = 1
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN done e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+SQL = {"op1_url_rules": OP1, "op8_decontamination": OP8, "op9_minhash_near_dedup": OP9, "op11_collocations": OP11, "op13_turn_repair": OP13}
