@@ -72,7 +72,7 @@ def _grow(path: str):
                     head, body = f"{START}{escape_role(turn['role'])}\n", escape(turn["text"])
                     key = hashlib.sha256(key + head.encode() + body.encode()).digest()
                     place += key.hex()[:STEP]
-                    parts = [encode(p).tolist() for p in (head, body, f"{END}\n")]
+                    parts = [p.tolist() for p in encode([head, body, f"{END}\n"])]
                     ids = [i for p in parts for i in p]
                     rows.append((conv, depth, place, ids, at, len(parts[0]), len(parts[1]) if turn["role"] == "assistant" else 0))
                     at += len(ids)
@@ -141,7 +141,7 @@ READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_s
 
 def _read(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = Encoder.open(path).core.decode_bytes
+        decode = Encoder.open(path).decode
         for batch in batches:
             rows = []
             for conv, nodes in zip(batch.column("conv_id").to_pylist(), batch.column("nodes").to_pylist()):

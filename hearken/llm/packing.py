@@ -5,10 +5,11 @@ largest first. Bins that are full but for a few tokens leave at once as sequence
 others become items of the next round, where neighbouring partitions meet: bins are merged
 best-fit into each other, again the full ones leave, until one partition is left.
 
-Before each round the bins that are too full for any other open bin leave (the least fill
-is one number), and bins of more than ``most`` per task leave as they are instead of being
-gathered, so no task ever gets an unbounded number of them; ``chunk`` bounds the items
-that a task holds at once.
+Two bins over half full never fit into one. Before each round only the bins up to half full
+therefore go on, and against them as many fuller ones as can take one, the emptiest first;
+all others leave. After best-fit a task has at most one bin up to half full in each ``chunk``
+of items, so a round holds at most two bins for each chunk of the one before, at any size of
+the input, and none leaves that could have been merged.
 
 Edge cases: a null or empty text is the end-of-document token alone, one piece of length 1;
 a document longer than ``size`` is cut from its end, so that only its first piece is short;
@@ -19,16 +20,16 @@ checksum. A retried task packs the same rows, because every round reads a writte
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from public_tokenizers import PATTERN
+from tokenizers import Tokenizer
 
 from hearken.llm.byte_pairs import Vocabulary
 from hearken.llm.common import stored
@@ -37,14 +38,18 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class Encoder:
-    """Ids of whole texts. Ranks are rebuilt from the vocabulary file; special strings are single tokens."""
+    """Ids of whole texts by the library of the vocabulary file, and bytes of ids. Special strings in texts are single tokens."""
 
     _open: dict[str, "Encoder"] = {}
+    #: Texts encoded at a time; the library keeps far more than the ids of each.
+    BATCH = 64
 
     def __init__(self, path: str):
-        v = Vocabulary.open(path)
-        ranks = {v.bytes_of[i]: i for t, i in v.ids.items() if t not in v.special}
-        self.core = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=v.special)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.core = Tokenizer.from_file(path)
+        self.core.no_truncation()
+        self.core.no_padding()
+        self.bytes_of = Vocabulary.open(path).bytes_of
 
     @classmethod
     def open(cls, path: str) -> "Encoder":
@@ -52,8 +57,13 @@ class Encoder:
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        return np.array(self.core.encode(text or "", allowed_special="all", disallowed_special=()), dtype="<u4")
+    def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        for a in range(0, len(texts), self.BATCH):
+            for found in self.core.encode_batch_fast([t or "" for t in texts[a : a + self.BATCH]], add_special_tokens=False):
+                yield np.array(found.ids, dtype="<u4")
+
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
 def pieces_of(ids: np.ndarray, size: int) -> list[tuple[int, int, int]]:
@@ -68,9 +78,9 @@ def _cut(path: str, size: int):
         encode, end = Encoder.open(path), np.zeros(1, dtype="<u4")
         for batch in batches:
             rows = [
-                (doc.as_py(), i, a, n, crc)
-                for doc, text in zip(batch.column("doc_id"), batch.column("text"))
-                for i, (a, n, crc) in enumerate(pieces_of(np.concatenate([encode(text.as_py()), end]), size))
+                (doc, i, a, n, crc)
+                for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()))
+                for i, (a, n, crc) in enumerate(pieces_of(np.concatenate([ids, end]), size))
             ]
             cols = list(zip(*rows)) or [[]] * 5
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
@@ -139,7 +149,7 @@ def _pack(size: int, slack: int, chunk: int, level: int):
     return run
 
 
-def pack(docs: DataFrame, path: str, size: int = 2048, slack: int = 4, fan_in: int = 8, chunk: int = 100_000, most: int = 100_000) -> DataFrame:
+def pack(docs: DataFrame, path: str, size: int = 2048, slack: int = 4, fan_in: int = 8, chunk: int = 100_000) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     ``slack`` is the room that a bin may keep to count as full, ``fan_in`` the number of
@@ -154,18 +164,24 @@ def pack(docs: DataFrame, path: str, size: int = 2048, slack: int = 4, fan_in: i
     while True:
         packed = stored(items.mapInArrow(_pack(size, slack, chunk, level), BINS))
         left = packed.filter("open")
-        count, least = left.agg(F.count(F.lit(1)), F.min("fill")).first()
+        small = F.col("fill") * 2 <= size
+        count, takers, least = left.agg(F.count(F.lit(1)), F.count_if(small), F.min("fill")).first()
         done.append(packed.filter("not open"))
-        if not count or tasks == 1:
+        if not takers or count == 1 or tasks == 1:
             done.append(left)
             break
-        alone = F.col("fill") + F.lit(least) > F.lit(size)
-        done.append(left.filter(alone))
-        left = left.filter(~alone)
+        full = left.filter(~small)
+        fits = full.filter(F.col("fill") + least <= size)
+        # the fill up to which there are as many fuller bins as small ones: one row per fill at most
+        fills, among = {}, 0
+        for fill, n in fits.groupBy("fill").count().orderBy("fill").collect():
+            fills[fill], among = max(0, min(n, takers - among)), among + n
+        turn = F.row_number().over(Window.partitionBy("fill").orderBy("sequence_id"))
+        quota = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in fills.items() for v in kv]), F.col("fill")), F.lit(0)) if fills else F.lit(0)
+        marked = stored(full.withColumn("goes", turn <= quota)) if fills else full.withColumn("goes", F.lit(False))
+        done.append(marked.filter("not goes").drop("goes"))
+        left = left.filter(small).unionByName(marked.filter("goes").drop("goes"))
         level, tasks = level + 1, -(-tasks // fan_in)
-        if level > 1 and left.count() > most * tasks:
-            done.append(left)
-            break
         items = left.select("fill", *MEMBER).coalesce(tasks)
     bins = done[0]
     for d in done[1:]:

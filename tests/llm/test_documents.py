@@ -284,6 +284,23 @@ def test_packing_against_the_library(docs):
     assert len(places) <= -(-sum(r.length for r in out) // 256) + 1
 
 
+def test_long_runs_of_one_character_are_packed(spark):
+    library = Tokenizer.from_file(JSON)
+    texts = [" " * 2_000_000, "\n" * 1_100_000, "\t" * 1_100_000 + "x", "a" * 300_000]
+    out = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), JSON, 2048).collect()
+    for k, text in enumerate(texts):
+        assert sum(r.length for r in out if r.doc_id == k) == len(library.encode(text, add_special_tokens=False).ids) + 1
+
+
+def test_small_bins_of_many_chunks_meet(spark):
+    """Many texts over half a sequence and a few short ones: each short one finds its place."""
+    data = [(k, "a b " * 35) for k in range(400)] + [(1000 + k, "a b " * 20) for k in range(40)]
+    frame = spark.createDataFrame(data, "doc_id long, text string").repartition(16)
+    out = packing.pack(frame, JSON, 128, chunk=20).collect()
+    assert len(out) == 440 and max(r.offset + r.length for r in out) <= 128
+    assert len({r.sequence_id for r in out}) <= 402
+
+
 def test_best_fit_places_each_item_once():
     r = random.Random(1)
     sizes = [r.randint(1, 100) for _ in range(1000)]

@@ -124,6 +124,12 @@ def test_conversations_round_trip_and_share_openings(spark):
         assert (r.loss_chars, r.loss_sha256) == (len(under), digest(under))
 
 
+def test_long_runs_in_a_conversation(spark):
+    rows = [(1, 0, "user", " " * 1_200_000), (1, 1, "assistant", "\n" * 1_200_000)]
+    got = chat_tree.digests(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), JSON).collect()
+    assert got[0].loss_chars == 1_200_000 and got[0].loss_sha256 == hashlib.sha256(b"\n" * 1_200_000).hexdigest()
+
+
 def test_tree_layout(spark):
     frame = spark.createDataFrame(CONVS, "conv_id long, turn long, role string, text string")
     stream, members = chat_tree.build(frame, JSON)
