@@ -103,30 +103,6 @@ def _prefix_stats(df: DataFrame, keys: Sequence[str], values: Sequence[str]) ->
     return _finish_stats(keyed_join(keyed_join(spread, quantiles, keys, "left"), mads, keys, "left"), keys, values)
 
 
-def window_stats(df: DataFrame, keys: Sequence[str], values: Sequence[str], fit: Column) -> DataFrame:
-    """Rows with the robust statistics of their own group, fitted on the rows where ``fit`` holds.
-
-    All passes share one partitioning, so a fold lattice pays a single shuffle. For
-    groups that are bounded by the number of devices only.
-    """
-    w = Window.partitionBy(*keys)
-    fitted = {v: F.when(fit, F.col(v)) for v in values}
-    df = df.withColumns({f"{v}__center": F.percentile(c, 0.5).over(w) for v, c in fitted.items()})
-    df = df.withColumns(
-        {f"{v}__mad": F.percentile(F.abs(c - F.col(f"{v}__center")), 0.5).over(w) for v, c in fitted.items()}
-        | {f"{v}__qq": F.percentile(c, [0.25, 0.75]).over(w) for v, c in fitted.items()}
-        | {f"{v}__std": F.stddev_samp(c).over(w) for v, c in fitted.items()}
-        | {"__n_fit": F.count_if(fit).over(w)}
-    )
-    out = {}
-    for v in values:
-        scale, method = scale_cascade(
-            F.col("__n_fit"), F.col(f"{v}__mad"), F.col(f"{v}__qq")[0], F.col(f"{v}__qq")[1], F.col(f"{v}__std")
-        )
-        out[f"{v}__scale"], out[f"{v}__method"] = scale, method
-    return df.withColumns(out).drop(*[f"{v}__{s}" for v in values for s in ("mad", "qq", "std")])
-
-
 def fit_normalization(x: DataFrame, limit: int | None = HOT_GROUP_ROWS) -> DataFrame:
     """Statistics at three levels in wide form: (level, subdir, x, <metric>_t__center/scale/method/count).
 
