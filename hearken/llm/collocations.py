@@ -3,8 +3,8 @@
 Texts become pieces (between sentence marks and line ends) of words. Every word starts a
 suffix, cut after ``longest`` words, at the end of its piece and before the first word that
 is too rare for any phrase. A task merges equal suffixes of its rows, then the suffixes are
-routed by their leading words: a range partitioning over (language, first word, second
-word, ...) of measured size, so a leading word that opens a third of all phrases is spread
+routed by their leading words: a range partitioning over (first word, second word, ...) of
+measured size, so a leading word that opens a third of all phrases is spread
 over many tasks.
 
 Each task sorts pointers to its suffixes to the full depth: all open partitions are split at
@@ -14,13 +14,15 @@ least count are abandoned, at any depth. Only the prefixes of a task's first and
 can go on in other tasks; their counts are emitted in any case and summed, so all counts are
 exact.
 
-Rare words are known from one map-side combined count. Suffix tasks test them in a bit set of
-fixed size (2 ** ``bits``), which may take a rare word for a frequent one, never the reverse;
-that costs rows and changes no result.
+A word of a language is one 64-bit number, its hash; the whole vocabulary is tested for two
+words with one number, and another seed is taken if there are any. Rare words are known from
+the vocabulary's map-side combined counts. Suffix tasks test them in a bit set of fixed size
+(2 ** ``bits``), which may take a rare word for a frequent one, never the reverse; that costs
+rows and changes no result.
 
 The score of a phrase is the least, over its cuts in two parts, of twice its count over the
-sum of its parts' counts, in whole millionths. Parts meet their counts by (language, part),
-with short parts, which many phrases share, spread over a salt.
+sum of its parts' counts, in whole millionths. Parts meet their counts by their words, with
+short parts, which many phrases share, spread over a salt.
 
 Edge cases: a null text is empty, a null language is ``und``; words are split at blanks and
 tabs only, and letters A-Z are lower-cased; repeated rows count as often as they occur;
@@ -31,12 +33,13 @@ columns are ignored. Memory is bounded by ``chunk`` bytes of text (or one text)
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,75 +70,76 @@ def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     inside = kind == 0
     starts = np.flatnonzero(inside & np.concatenate([[True], ~inside[:-1]])) if len(raw) else np.empty(0, dtype=np.int64)
     if not len(starts):
-        return [], np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        return [], np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int32)
     ends = np.flatnonzero(inside & np.concatenate([~inside[1:], [True]])) + 1
-    piece = np.cumsum(kind == 2)[starts]
+    piece = np.cumsum(kind == 2, dtype=np.int32)[starts]
     offsets = np.concatenate([[0], np.cumsum(ends - starts)])
     letters = pa.py_buffer(LOWER[raw[inside]].tobytes())
     words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), letters])
     coded = words.dictionary_encode()
-    return coded.dictionary.cast(pa.large_string()).to_pylist(), coded.indices.to_numpy().astype(np.int64), piece
+    return coded.dictionary.cast(pa.large_string()).to_pylist(), coded.indices.to_numpy(), piece
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[tuple[str, pa.Array]]:
-    """(language, texts) of about ``chunk`` bytes."""
+    """(language, texts) of about ``chunk`` bytes, or of one longer text."""
+    for batch in batches:
+        some = max(1, batch.num_rows * chunk // max(batch.nbytes, 1))
+        for a in range(0, batch.num_rows, some):
+            rows = batch.slice(a, some)
+            for lang in pc.unique(rows.column("lang")).to_pylist():
+                yield lang, rows.column("text").filter(pc.equal(rows.column("lang"), lang))
 
-    def groups(held: list[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array]]:
-        rows = pa.Table.from_batches(held).combine_chunks()
-        for lang in pc.unique(rows["lang"]).to_pylist():
-            yield lang, pa.concat_arrays(rows.filter(pc.equal(rows["lang"], lang))["text"].chunks)
 
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held.append(batch)
-        if sum(b.nbytes for b in held) >= chunk:
-            yield from groups(held)
-            held = []
-    if held and sum(b.num_rows for b in held):
-        yield from groups(held)
+def numbers(lang: str, words: list[str], seed: int) -> np.ndarray:
+    """The number of each word of a language; never 0."""
+    found = (xxhash.xxh3_64_intdigest(f"{lang} {w}", seed) or 1 for w in words)
+    return np.fromiter(found, dtype=np.uint64, count=len(words)).view(np.int64)
 
 
-def _vocabulary(chunk: int) -> Callable:
+def _vocabulary(chunk: int, seed: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, texts in _chunks(batches, chunk):
             words, at, _ = words_of(texts)
             n = np.bincount(at, minlength=len(words))
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(words, pa.string()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
+            columns = [pa.array(numbers(lang, words, seed)), pa.array([lang] * len(words), pa.string()), pa.array(words, pa.string()), pa.array(n, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "lang", "word", "n"])
 
     return run
 
 
 def suffixes_of(at: np.ndarray, piece: np.ndarray, usable: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
     """(suffixes, counts): the distinct suffixes of two or more usable words as word numbers + 1, 0 after their end."""
-    whole = np.zeros((len(at), longest), dtype=np.int64)
-    open_ = np.ones(len(at), dtype=bool)
-    for k in range(longest):
-        here = np.arange(len(at) - k)
-        open_[len(at) - k :] = False
-        open_[here] &= (piece[here + k] == piece[here]) & usable[at[here + k]]
-        whole[here, k] = np.where(open_[here], at[here + k] + 1, 0)
-    whole = whole[whole[:, 1] > 0]
-    key = np.zeros(len(whole), dtype=np.int64)
-    for k in range(longest):
-        # numbers of distinct prefixes, so that a key never outgrows 64 bits
-        key = np.unique(key * (len(usable) + 1) + whole[:, k], return_inverse=True)[1]
-    _, first, n = np.unique(key, return_index=True, return_counts=True)
-    return whole[first], n
-
-
-def _suffixes(chunk: int, longest: int, bits: int, flags: bytes) -> Callable:
+    goes = np.zeros(len(at), dtype=bool)
+    goes[:-1] = (piece[1:] == piece[:-1]) & usable[at[1:]]
+    starts = np.flatnonzero(goes & usable[at])
+    if not len(starts):
+        return np.empty((0, longest), dtype=np.int32), np.empty(0, dtype=np.int64)
+    whole = np.zeros((len(starts), longest), dtype=np.int32)
+    whole[:, 0] = at[starts] + 1
+    key, size, base = whole[:, 0].astype(np.int64), len(usable) + 1, len(usable) + 1
+    more = np.ones(len(starts), dtype=bool)
+    for k in range(1, longest):
+        more &= goes[np.minimum(starts + k - 1, len(at) - 1)]
+        whole[more, k] = at[starts[more] + k] + 1
+        if size * base >= 1 << 63:  # number the distinct prefixes, so that a key never outgrows 64 bits
+            distinct, key = np.unique(key, return_inverse=True)
+            size = len(distinct)
+        key, size = key * base + whole[:, k], size * base
+    order = np.argsort(key)
+    first = np.flatnonzero(np.diff(key[order], prepend=-1))
+    return whole[order[first]], np.diff(first, append=len(order))
+
+
+def _suffixes(chunk: int, longest: int, bits: int, flags: bytes, seed: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.unpackbits(np.frombuffer(flags, dtype=np.uint8), bitorder="little").astype(bool)
-        names = ["lang", *[f"w{k}" for k in range(longest)], "n"]
         for lang, texts in _chunks(batches, chunk):
             words, at, piece = words_of(texts)
-            slots = np.fromiter((zlib.crc32(f"{lang} {w}".encode()) & ((1 << bits) - 1) for w in words), dtype=np.int64, count=len(words))
-            found, n = suffixes_of(at, piece, known[slots], longest)
-            spelt = pa.array(["", *words], pa.string())
-            for a in range(0, len(found), 1 << 16):
-                some = found[a : a + (1 << 16)]
-                columns = [spelt.take(pa.array(some[:, k])) for k in range(longest)]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), *columns, pa.array(n[a : a + (1 << 16)])], names=names)
+            ids = numbers(lang, words, seed)
+            found, n = suffixes_of(at, piece, known[ids & ((1 << bits) - 1)], longest)
+            spelt = np.concatenate([[0], ids])
+            columns = [pa.array(spelt[found[:, k]]) for k in range(longest)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64())], names=[*(f"w{k}" for k in range(longest)), "n"])
 
     return run
 
@@ -180,112 +184,123 @@ def three_way(keys: np.ndarray, counts: np.ndarray, least: int) -> Iterator[tupl
 
 
 def _counted(least: int, longest: int) -> Callable:
-    """(lang, phrase, words, n) of a task's range of suffixes; prefixes at its two ends in any case."""
+    """(ids, n) of a task's range of suffixes; prefixes at its two ends in any case."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["lang", *[f"w{k}" for k in range(longest)]]
-        held = [b for b in batches if b.num_rows]
+        names = [f"w{k}" for k in range(longest)]
+        held = [np.stack([b.column(n).to_numpy() for n in (*names, "n")], axis=1) for b in batches if b.num_rows]
         if not held:
             return
-        rows = pa.Table.from_batches(held)
+        rows = np.concatenate(held)
         held.clear()
-        counts = rows["n"].to_numpy()
-        spelt = sorted({w for n in names for w in pc.unique(rows[n]).to_pylist()} | {""}, key=str.encode)
-        rank = pa.array(spelt, pa.string())
-        keys = np.stack([pc.index_in(rows[n], value_set=rank).to_numpy() for n in names], axis=1)
-        del rows
+        keys, counts = rows[:, :longest], rows[:, longest]
         ends: dict[tuple, int] = {}
         for best in (np.min, np.max):
             inside = np.arange(len(keys))
             prefix: tuple = ()
-            for k in range(longest + 1):
+            for k in range(longest):
                 value = best(keys[inside, k])
                 prefix += (int(value),)
-                if k > 1 and value:
-                    same = (keys[:, : k + 1] == np.array(prefix)).all(axis=1)
-                    ends[prefix] = int(counts[same].sum())
                 inside = inside[keys[inside, k] == value]
-        out = [(p, n) for p, n in ends.items()]
+                if k and value:
+                    ends[prefix] = int(counts[inside].sum())
+        out = list(ends.items())
         for at, depth, n in three_way(keys, counts, least):
-            if depth > 2:
+            if depth > 1:
                 out.extend((p, c) for p, c in zip(map(tuple, keys[at, :depth].tolist()), n.tolist()) if p not in ends)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([spelt[p[0]] for p, _ in out], pa.string()), pa.array([" ".join(spelt[c] for c in p[1:]) for p, _ in out], pa.string()),
-             pa.array([len(p) - 1 for p, _ in out], pa.int32()), pa.array([n for _, n in out], pa.int64())],
-            names=["lang", "phrase", "words", "n"],
-        )
+        ids = pa.array([list(p) for p, _ in out], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([ids, pa.array([n for _, n in out], pa.int64())], names=["ids", "n"])
 
     return run
 
 
-def phrases(docs: DataFrame, least: int = 30, longest: int = 4, bits: int = 24, chunk: int = 32 << 20, rows: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
-    """(lang, phrase, words, a) of all phrases of up to ``longest`` words with ``least`` or more occurrences, and (lang, n)."""
-    texts = docs.select(F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    tallies = texts.mapInArrow(_vocabulary(chunk), "lang string, word string, n long")
-    words = stored(tallies.groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    frequent = words.filter(F.col("n") >= least)
-    slot = F.crc32(F.concat("lang", F.lit(" "), "word")).bitwiseAND(F.lit((1 << bits) - 1)) + 1
-    buckets = frequent.select(slot.alias("slot")).groupBy(F.expr("bitmap_bucket_number(slot)").alias("bucket")).agg(
+def vocabulary(texts: DataFrame, chunk: int) -> tuple[DataFrame, int]:
+    """(id, lang, word, n) of all words, and the first seed that gives each word a number of its own."""
+    for seed in count():
+        tallies = texts.mapInArrow(_vocabulary(chunk, seed), "id long, lang string, word string, n long")
+        words = stored(tallies.groupBy("id", "lang", "word").agg(F.sum("n").alias("n")))
+        if words.groupBy("id").count().filter("count > 1").isEmpty():
+            return words, seed
+
+
+def bit_set(ids: DataFrame, bits: int) -> bytes:
+    """2 ** ``bits`` bits, set where the last ``bits`` bits of some id say; of this size however many ids there are."""
+    slot = F.col("id").bitwiseAND(F.lit((1 << bits) - 1)) + 1
+    buckets = ids.select(slot.alias("slot")).groupBy(F.expr("bitmap_bucket_number(slot)").alias("bucket")).agg(
         F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("flags")
     )
     flags = bytearray(1 << (bits - 3))
-    for r in buckets.collect():  # 2 ** bits bits at any size of the input
+    for r in buckets.collect():
         at = (r["bucket"] - 1) * 4096
         flags[at : at + 4096] = r["flags"]
-    keys = ["lang", *[f"w{k}" for k in range(longest)]]
-    schema = ", ".join(f"{k} string" for k in keys) + ", n long"
-    found = stored(texts.mapInArrow(_suffixes(chunk, longest, bits, bytes(flags)), schema))
+    return bytes(flags)
+
+
+def phrases(docs: DataFrame, least: int = 30, longest: int = 4, bits: int = 24, chunk: int = 12 << 20, rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """(ids, a) of all phrases of up to ``longest`` words with ``least`` or more occurrences, and the vocabulary (id, lang, word, n)."""
+    texts = docs.select(F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    words, seed = vocabulary(texts, chunk)
+    frequent = words.filter(F.col("n") >= least)
+    keys = [f"w{k}" for k in range(longest)]
+    schema = ", ".join(f"{k} long" for k in keys) + ", n long"
+    found = stored(texts.mapInArrow(_suffixes(chunk, longest, bits, bit_set(frequent, bits), seed), schema))
     parts = max(found.count() // rows + 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    partial = found.repartitionByRange(parts, *keys).mapInArrow(_counted(least, longest), "lang string, phrase string, words int, n long")
-    summed = partial.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
-    single = frequent.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), F.col("n").alias("a"))
-    return stored(summed.unionByName(single)), words.groupBy("lang").agg(F.sum("n").alias("n"))
+    partial = found.repartitionByRange(parts, *keys).mapInArrow(_counted(least, longest), "ids array<long>, n long")
+    summed = partial.groupBy("ids").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
+    return stored(summed.unionByName(frequent.select(F.array("id").alias("ids"), F.col("n").alias("a")))), words
 
 
-def _part(first: int | Column, length: Column) -> Column:
-    return F.array_join(F.slice(F.split("phrase", " "), first, length), " ")
+def salts(size: Column) -> Column:
+    return F.when(size == 1, F.lit(SALTS[1])).when(size == 2, F.lit(SALTS[2])).otherwise(F.lit(1))
 
 
 def cohesion(found: DataFrame) -> DataFrame:
-    """Every phrase of two words or more with its weakest cut: lang, phrase, words, a, l, r, score."""
-    cuts = found.filter("words > 1").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("words") - 1)))
+    """Every phrase of two words or more with its weakest cut: ids, a, l, r, score."""
+    long = found.filter(F.size("ids") > 1)
+    cuts = long.select("ids", "a", F.explode(F.sequence(F.lit(1), F.size("ids") - 1)).alias("k"))
+    rest = F.size("ids") - F.col("k")
     sides = F.array(
-        F.struct(F.lit(0).alias("side"), F.col("k").alias("size"), _part(1, F.col("k")).alias("part")),
-        F.struct(F.lit(1).alias("side"), (F.col("words") - F.col("k")).alias("size"), _part(F.col("k") + 1, F.col("words") - F.col("k")).alias("part")),
+        F.struct(F.lit(0).alias("side"), F.slice("ids", F.lit(1), F.col("k")).alias("part")),
+        F.struct(F.lit(1).alias("side"), F.slice("ids", F.col("k") + 1, rest).alias("part")),
     )
-    asked = cuts.select("lang", "phrase", "words", "a", "k", F.inline(sides))
-
-    def salts(size: str) -> Column:
-        return F.when(F.col(size) == 1, F.lit(SALTS[1])).when(F.col(size) == 2, F.lit(SALTS[2])).otherwise(F.lit(1))
-
-    asked = asked.withColumn("salt", F.pmod(F.xxhash64("phrase"), salts("size")).cast("int"))
-    known = found.select("lang", F.col("phrase").alias("part"), F.col("a").alias("f"), F.explode(F.sequence(F.lit(0), salts("words") - 1)).alias("salt"))
-    met = asked.join(known, ["lang", "part", "salt"])
+    asked = cuts.select("ids", "a", "k", F.inline(sides))
+    asked = asked.withColumn("salt", F.pmod(F.xxhash64("ids"), salts(F.size("part"))).cast("int"))
+    known = found.select(F.col("ids").alias("part"), F.col("a").alias("f"), F.explode(F.sequence(F.lit(0), salts(F.size("ids")) - 1)).alias("salt"))
+    met = asked.join(known, ["part", "salt"])
     own = lambda s: F.max(F.when(F.col("side") == s, F.col("f")))
-    by_cut = met.groupBy("lang", "phrase", "words", "a", "k").agg(own(0).alias("l"), own(1).alias("r"))
+    by_cut = met.groupBy("ids", "a", "k").agg(own(0).alias("l"), own(1).alias("r"))
     wide = lambda c: F.col(c).cast("decimal(20,0)")
     scored = by_cut.withColumn("twice", F.lit(2_000_000).cast("decimal(7,0)") * wide("a")).withColumn("both", wide("l") + wide("r"))
     scored = scored.withColumn("score", F.expr("twice div both"))
-    return scored.groupBy("lang", "phrase", "words", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut")).select(
-        "lang", "phrase", "words", "a", "cut.l", "cut.r", "cut.score"
-    )
+    return scored.groupBy("ids", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut")).select("ids", "a", "cut.l", "cut.r", "cut.score")
 
 
 def not_absorbed(candidates: DataFrame, percent: int = 80) -> DataFrame:
     """Without phrases that a longer one contains which occurs at least ``percent`` as often."""
-    size = F.explode(F.sequence(F.lit(2), F.col("words") - 1)).alias("size")
-    inner = candidates.filter("words > 2").select("lang", "phrase", "words", "a", size)
-    inner = inner.withColumn("first", F.explode(F.sequence(F.lit(1), F.col("words") - F.col("size") + 1)))
-    longer = inner.select("lang", _part(F.col("first"), F.col("size")).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("whole"))
-    dec = lambda c: F.col(c).cast("decimal(20,0)")
-    met = candidates.join(longer, ["lang", "phrase"], "left")
-    return met.filter(F.col("whole").isNull() | (F.lit(100) * dec("whole") < F.lit(percent) * dec("a"))).drop("whole")
+    size = F.explode(F.sequence(F.lit(2), F.size("ids") - 1)).alias("size")
+    inner = candidates.filter(F.size("ids") > 2).select("ids", "a", size)
+    inner = inner.withColumn("first", F.explode(F.sequence(F.lit(1), F.size("ids") - F.col("size") + 1)))
+    longer = inner.select(F.slice("ids", F.col("first"), F.col("size")).alias("ids"), "a").groupBy("ids").agg(F.max("a").alias("whole"))
+    wide = lambda c: F.col(c).cast("decimal(20,0)")
+    met = candidates.join(longer, "ids", "left")
+    return met.filter(F.col("whole").isNull() | (F.lit(100) * wide("whole") < F.lit(percent) * wide("a"))).drop("whole")
+
+
+def spelt(found: DataFrame, words: DataFrame) -> DataFrame:
+    """``found`` with its language and text in place of ids; words of many phrases are spread over a salt."""
+    salt = F.pmod(F.xxhash64("ids"), F.lit(SALTS[1])).cast("int")
+    asked = found.select("ids", F.posexplode("ids").alias("place", "id"), salt.alias("salt"))
+    known = words.select("id", "lang", "word", F.explode(F.sequence(F.lit(0), F.lit(SALTS[1] - 1))).alias("salt"))
+    met = asked.join(known, ["id", "salt"]).groupBy("ids").agg(F.first("lang").alias("lang"), F.array_sort(F.collect_list(F.struct("place", "word"))).alias("w"))
+    text = met.select("ids", "lang", F.array_join(F.transform("w", lambda w: w["word"]), " ").alias("phrase"))
+    return found.join(text, "ids").drop("ids")
 
 
 def mine(docs: DataFrame, most: int = 2000, least: int = 30, percent: int = 80) -> DataFrame:
     """The first ``most`` phrases of every language: lang, rank, phrase, a, l, r, n, score."""
-    found, totals = phrases(docs, least)
-    kept = not_absorbed(stored(cohesion(found)), percent)
+    found, words = phrases(docs, least)
+    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
+    kept = spelt(not_absorbed(stored(cohesion(found)), percent), words.filter(F.col("n") >= least))
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     salted = kept.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(64)))
     some = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).filter(F.col("rank") <= most)

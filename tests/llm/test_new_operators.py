@@ -223,8 +223,22 @@ def test_phrases_across_many_ranges_and_a_full_bit_set(spark):
     frame = spark.createDataFrame(docs, "lang string, text string")
     small, _ = collocations.phrases(frame, 6)
     spread, _ = collocations.phrases(frame, 6, bits=15, chunk=500, rows=40)
-    rows = lambda d: sorted(tuple(r) for r in d.collect())
-    assert rows(small) == rows(spread)
+    rows = lambda d: sorted((tuple(r["ids"]), r["a"]) for r in d.collect())
+    assert rows(small) == rows(spread) and len(rows(small)) > 50
+
+
+def test_two_words_with_one_number_take_another_seed(spark, monkeypatch):
+    first = collocations.numbers("en", ["the", "of"], 0).tolist()
+    clash = [[{"id": first[0] if seed == 0 else i, "lang": "en", "word": w, "n": 5} for i, w in enumerate(("the", "of"))] for seed in (0, 1)]
+
+    def fake(chunk, seed):
+        import pyarrow as pa
+
+        return lambda batches: iter([pa.RecordBatch.from_pylist(clash[seed])])
+
+    monkeypatch.setattr(collocations, "_vocabulary", fake)
+    words, seed = collocations.vocabulary(spark.createDataFrame([("en", "x")], "lang string, text string").coalesce(1), 100)
+    assert seed == 1 and words.count() == 2
 
 
 def test_three_way_counts_every_frequent_prefix():
