@@ -75,7 +75,7 @@ REG_SQL = f"""{A.SCORED}, sc AS (SELECT name, subdir, round(truth, 0) AS truth,
 def d18(spark, sf):
     """Blocks are small here, so that many block pairs take part."""
     s = A.scored(spark, sf).withColumns({"truth": F.round("truth", 0), "pred": F.round("pred", 1)})
-    return tidy(E.regression_metrics(s, ["subdir"], "name", "truth", "pred", gap=3.5, block_rows=32))
+    return tidy(E.regression_metrics(s, ["subdir"], "name", "truth", "pred", gap=3.5))
 
 
 @check("d19_pearson_constant", "SELECT CAST(l_linenumber AS BIGINT) AS line, CAST(NULL AS DOUBLE) AS pearson, count(*) AS n FROM lineitem GROUP BY 1")

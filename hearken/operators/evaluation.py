@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from hearken.config import NOTICEABLE_GAP, PAIR_BLOCK_ROWS, PREFERENCE_SLOPE
 from hearken.functions.exprs import is_finite
+from hearken.operators.dominance import ordered_alike, tied_pairs
 from hearken.operators.skew import average_rank, counts_at, keyed_join, pair_sums
 
 
@@ -91,6 +92,27 @@ def tau_b() -> Column:
     return F.when(untied > 0, F.try_divide(F.col("concordant") - F.col("discordant"), F.sqrt(untied)))
 
 
+def rank_pairs(df: DataFrame, keys: Sequence[str], truth: str, pred: str, gap: float = 0.0, bounded: bool = False) -> DataFrame:
+    """Counts of pairs: all, tied, ordered alike and oppositely, and those more than ``gap`` apart in truth. No pair is formed."""
+    near = [gap] if gap > 0 else []
+    out = df.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("__n"))
+    parts = [
+        ordered_alike(df, keys, truth, pred, bounded=bounded).withColumnRenamed("alike", "concordant"),
+        tied_pairs(df, keys, [truth], "ties_true"), tied_pairs(df, keys, [pred], "ties_pred"), tied_pairs(df, keys, [truth, pred], "__both"),
+    ]
+    for g in near:
+        parts.append(ordered_alike(df, keys, truth, pred, g, bounded=bounded).withColumnRenamed("alike", "far_correct"))
+        ends = df.select(*keys, (F.col(truth) - F.lit(g)).alias(truth))
+        parts.append(counts_at(df, ends, keys, truth).groupBy(*keys).agg(F.sum("n_lt").cast("double").alias("far")))
+    for part in parts:
+        out = keyed_join(out, part, keys, "left")
+    out = out.withColumn("pairs", F.col("__n") * (F.col("__n") - 1) / 2)
+    if not near:
+        out = out.withColumns({"far": F.col("pairs") - F.col("ties_true"), "far_correct": F.col("concordant")})
+    against = F.col("pairs") - F.col("concordant") - F.col("ties_true") - F.col("ties_pred") + F.col("__both")
+    return out.withColumn("discordant", against).select(*keys, "pairs", "concordant", "discordant", "ties_true", "ties_pred", "far", "far_correct")
+
+
 def point_metrics(df: DataFrame, keys: Sequence[str], truth: str, pred: str, bounded: bool = False) -> DataFrame:
     """n, MAE, RMSE, Pearson and Spearman per group. Ranks first, then one aggregate."""
     valid = finite_pairs(df, truth, pred)
@@ -106,13 +128,11 @@ def point_metrics(df: DataFrame, keys: Sequence[str], truth: str, pred: str, bou
 
 
 def regression_metrics(
-    df: DataFrame, keys: Sequence[str], ident: str, truth: str, pred: str,
-    gap: float = 0.0, bounded: bool = False, block_rows: int = PAIR_BLOCK_ROWS,
+    df: DataFrame, keys: Sequence[str], ident: str, truth: str, pred: str, gap: float = 0.0, bounded: bool = False
 ) -> DataFrame:
     """All regression and rank metrics; pairs within ``gap`` of each other are skipped."""
     points = point_metrics(df, keys, truth, pred, bounded)
-    sums = _sums(finite_pairs(df, truth, pred), keys, ident, truth, pred, block_rows,
-                 gap=gap, strict_gap=True, slope=PREFERENCE_SLOPE, floor=1e-7, clip_at=None, tie_margin=None)
+    sums = rank_pairs(finite_pairs(df, truth, pred), keys, truth, pred, gap, bounded)
     pairs = sums.select(
         *keys, tau_b().alias("kendall_tau"), F.try_divide(F.col("far_correct"), F.col("far")).alias("pairwise_ranking_accuracy")
     )
