@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearken.operators.numbering import numbered
 from hearken.operators.skew import keyed_join
 
 
@@ -30,7 +31,7 @@ def assign_folds(df: DataFrame, ident: str, kind: str = "kfold", k: int = 5, see
       groups go round robin by falling size;
     * ``leave_one_out``: one fold per group.
 
-    Positions come from a window over hash cells with a carry per cell, not from one global sort.
+    Positions come from ranges of the order (``numbered``), whatever the ids or sizes have in common.
     """
     if kind == "kfold":
         units = df.groupBy(ident).agg(F.count(F.lit(1)).alias("__size")).withColumn("__h", F.xxhash64(F.lit(seed), F.col(ident)))
@@ -40,28 +41,15 @@ def assign_folds(df: DataFrame, ident: str, kind: str = "kfold", k: int = 5, see
         least, most = (3, k) if kind == "group" else (1, None)
     else:
         raise ValueError(f"Unknown fold kind: {kind}")
-    if kind == "group":
-        units = _numbered(units, [F.desc("__size"), F.asc(ident)], -F.col("__size"))
-    elif kind == "kfold":
-        units = _numbered(units, [F.asc("__h")], F.shiftright("__h", 44))
-    else:
-        units = _numbered(units, [F.asc(ident)], F.substring(F.col(ident).cast("string"), 1, 8))
+    order = {"group": [F.desc("__size"), F.asc(ident)], "kfold": [F.asc("__h"), F.asc(ident)], "leave_one_out": [F.asc(ident)]}[kind]
+    units = numbered(units, [], order, "__pos")
     count = F.col("__count")
-    fold = F.col("__pos") - 1 if most is None else F.pmod(F.col("__pos") - 1, F.least(count, F.lit(most)))
+    units = keyed_join(units, units.agg(F.count(F.lit(1)).alias("__count")), [], small=True)  # one row
+    fold = F.col("__pos") if most is None else F.pmod("__pos", F.least(count, F.lit(most)))
     units = units.withColumn("fold", F.when(count >= least, fold).cast("int")).select(ident, "fold")
     return keyed_join(df, units, [ident], "left")
 
 
-def _numbered(units: DataFrame, order: list, cell) -> DataFrame:
-    """1-based position by ``order`` and total count; ``cell`` is a coarse prefix of the order."""
-    units = units.withColumn("__cell", cell)
-    per = units.groupBy("__cell").agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(F.lit(0))
-    per = per.withColumn("__before", F.sum("__n").over(w.orderBy("__cell")) - F.col("__n")).withColumn("__count", F.sum("__n").over(w)).drop("__n")
-    out = keyed_join(units, per, ["__cell"])
-    return out.withColumn("__pos", F.col("__before") + F.row_number().over(Window.partitionBy("__cell").orderBy(*order)))
-
-
 def expand_folds(rows: DataFrame, folds: DataFrame, key: Sequence[str] = ("subdir",), fold: str = "fold") -> DataFrame:
     """Copy rows to every exclusion set of their subdir that does not name their fold.
 

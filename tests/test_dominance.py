@@ -66,3 +66,14 @@ def test_a_million_rows_of_one_group(spark):
     got = ordered_alike(frame, [], "t", "p").first().alike
     t = np.arange(n)
     assert got == merge_count(t, (t * 7919) % n, np.ones(n), np.ones(n))
+
+
+def test_folds_of_ids_with_one_prefix_are_spread(spark):
+    from hearken.operators.folds import assign_folds
+
+    n = 400_000
+    frame = spark.range(n).select(F.format_string("device-of-one-maker-%09d", "id").alias("name"))
+    folds = assign_folds(frame, "name", "leave_one_out")
+    assert folds.agg(F.countDistinct("fold").alias("n"), F.min("fold").alias("a"), F.max("fold").alias("b")).first() == (n, 0, n - 1)
+    laid = frame.repartitionByRange(8, "name").groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert laid.max() <= 2 * laid.median()
