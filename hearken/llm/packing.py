@@ -20,12 +20,14 @@ checksum. A retried task packs the same rows, because every round reads a writte
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
+import tiktoken
+from public_tokenizers import PATTERN
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,19 +39,25 @@ from hearken.llm.common import stored
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: Runs of blanks that one of the two encoders cannot read; all but the last character of such a run is one pre-token.
+LONG_RUN = regex.compile(r"\s{100000,}+")
+
+
 class Encoder:
-    """Ids of whole texts by the library of the vocabulary file, and bytes of ids. Special strings in texts are single tokens."""
+    """Ids of whole texts as the library of the vocabulary file gives them, and bytes of ids.
+
+    Special strings in texts are single tokens. Ranks are rebuilt from the vocabulary file
+    for a faster encoder of the same pre-tokens and merges; it stops at very long runs of
+    blanks, which therefore go to the library itself.
+    """
 
     _open: dict[str, "Encoder"] = {}
-    #: Texts encoded at a time; the library keeps far more than the ids of each.
-    BATCH = 64
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.core = Tokenizer.from_file(path)
-        self.core.no_truncation()
-        self.core.no_padding()
-        self.bytes_of = Vocabulary.open(path).bytes_of
+        v = Vocabulary.open(path)
+        ranks = {v.bytes_of[i]: i for t, i in v.ids.items() if t not in v.special}
+        self.core = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=v.special)
+        self.library = Tokenizer.from_file(path)
 
     @classmethod
     def open(cls, path: str) -> "Encoder":
@@ -57,13 +65,22 @@ class Encoder:
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        for a in range(0, len(texts), self.BATCH):
-            for found in self.core.encode_batch_fast([t or "" for t in texts[a : a + self.BATCH]], add_special_tokens=False):
-                yield np.array(found.ids, dtype="<u4")
+    def __call__(self, text: str | None) -> np.ndarray:
+        text, at, parts = text or "", 0, []
+        for run in LONG_RUN.finditer(text):
+            # the last character of the run may belong to the word behind it
+            end = run.end() - (run.end() < len(text))
+            parts.append(self._plain(text[at : run.start()]))
+            parts.append(self.library.encode(text[run.start() : end], add_special_tokens=False).ids)
+            at = end
+        parts.append(self._plain(text[at:]))
+        return np.concatenate([np.array(p, dtype="<u4") for p in parts])
+
+    def _plain(self, text: str) -> list[int]:
+        return self.core.encode(text, allowed_special="all", disallowed_special=())
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        return self.core.decode_bytes(ids)
 
 
 def pieces_of(ids: np.ndarray, size: int) -> list[tuple[int, int, int]]:
@@ -78,9 +95,9 @@ def _cut(path: str, size: int):
         encode, end = Encoder.open(path), np.zeros(1, dtype="<u4")
         for batch in batches:
             rows = [
-                (doc, i, a, n, crc)
-                for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()))
-                for i, (a, n, crc) in enumerate(pieces_of(np.concatenate([ids, end]), size))
+                (doc.as_py(), i, a, n, crc)
+                for doc, text in zip(batch.column("doc_id"), batch.column("text"))
+                for i, (a, n, crc) in enumerate(pieces_of(np.concatenate([encode(text.as_py()), end]), size))
             ]
             cols = list(zip(*rows)) or [[]] * 5
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
