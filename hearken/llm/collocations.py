@@ -7,8 +7,8 @@ routed by their leading words: a range partitioning over (first word, second wor
 measured size, so a leading word that opens a third of all phrases is spread
 over many tasks.
 
-Each task sorts pointers to its suffixes to the full depth: all open partitions are split at
-once around one pivot word each into less, equal and greater; an equal partition is a phrase,
+Each task sorts pointers to its suffixes to the full depth: partitions are split around a
+pivot word into less, equal and greater, the small ones all at a time; an equal partition is a phrase,
 its size the phrase's count, and it goes on with the next word; partitions smaller than the
 least count are abandoned, at any depth. Only the prefixes of a task's first and last suffix
 can go on in other tasks; their counts are emitted in any case and summed, so all counts are
@@ -144,43 +144,63 @@ def _suffixes(chunk: int, longest: int, bits: int, flags: bytes, seed: int) -> C
     return run
 
 
-def three_way(keys: np.ndarray, counts: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+def three_way(keys: np.ndarray, counts: np.ndarray, least: int, large: int = 4096) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
     """(a row of each, depth, counts) of the prefixes that occur ``least`` times or more; key 0 is the end of a suffix.
 
-    Multikey quicksort of row pointers, all open partitions at a time: ``part`` numbers the
-    partition of each pointer, ``depth`` is the key that a partition is split by.
+    Multikey quicksort of row pointers: partitions of more than ``large`` pointers are split
+    one by one, the others all at a time.
     """
-    rows, part, depth = np.arange(len(keys)), np.zeros(len(keys), dtype=np.int64), np.zeros(1, dtype=np.int64)
+    todo, small = [(np.arange(len(keys)), 0)], []
+    while todo:
+        rows, depth = todo.pop()
+        if len(rows) <= large:
+            small.append((rows, depth))
+            continue
+        own = keys[rows, depth]
+        pivot = own[len(own) // 2]
+        equal = rows[own == pivot]
+        total = counts[equal].sum()
+        parts = [(rows[own < pivot], depth), (rows[own > pivot], depth)]
+        if pivot and total >= least:
+            yield equal[:1], depth + 1, np.array([total])
+            if depth + 1 < keys.shape[1]:
+                parts.append((equal, depth + 1))
+        todo.extend((r, d) for r, d in parts if len(r) and counts[r].sum() >= least)
+    small = [p for p in small if len(p[0])]
+    if small:
+        yield from _split_all(keys, counts, least, small)
+
+
+def _split_all(keys: np.ndarray, counts: np.ndarray, least: int, parts: list[tuple[np.ndarray, int]]) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    """The rest of the sort: ``part`` numbers the open partition of each pointer, ``depth`` is the key that a partition is split by."""
+    rows, depth = np.concatenate([r for r, _ in parts]), np.array([d for _, d in parts])
+    part = np.repeat(np.arange(len(parts)), [len(r) for r, _ in parts])
     while len(rows):
         sizes = np.bincount(part, minlength=len(depth))
         starts = np.cumsum(sizes) - sizes
         pivot = keys[rows[starts + sizes // 2], depth]
         own = keys[rows, depth[part]]
-        side = (own >= pivot[part]).astype(np.int64) + (own > pivot[part])
-        # a stable split: a pointer goes behind all pointers of smaller parts and the earlier ones of its own
+        split = pivot[part]
+        side = (own >= split).astype(np.int64) + (own > split)
         target = 3 * part + side
-        room = np.bincount(target, minlength=3 * len(depth))
-        first = np.cumsum(room) - room
-        place = np.empty(len(rows), dtype=np.int64)
-        for s in range(3):
-            among = np.cumsum(side == s)
-            before = (among[starts] - (side[starts] == s))[part]
-            mine = side == s
-            place[mine] = (first[target] + among - before - 1)[mine]
-        moved = np.empty(len(rows), dtype=np.int64)
-        moved[place] = rows
-        total = np.bincount(target, weights=counts[rows], minlength=3 * len(depth)).astype(np.int64)
+        weight = counts[rows]
+        total = np.bincount(target, weights=weight, minlength=3 * len(depth)).astype(np.int64)
         equal = np.arange(3 * len(depth)) % 3 == 1
         depths = np.repeat(depth, 3) + equal
-        alive = (total >= least) & (room > 0) & ~(equal & (np.repeat(pivot, 3) == 0))
+        alive = (total >= least) & ~(equal & (np.repeat(pivot, 3) == 0))
+        # pointers of abandoned partitions go before the others are put in order
+        stay = alive[target]
+        rows, target = rows[stay], target[stay]
+        rows = rows[np.argsort(target, kind="stable")]
+        room = np.bincount(target, minlength=3 * len(depth))
+        first = np.cumsum(room) - room
         for d in np.unique(depths[alive & equal]):
             some = np.flatnonzero(alive & equal & (depths == d))
-            yield moved[first[some]], int(d), total[some]
-        alive &= depths < keys.shape[1]
+            yield rows[first[some]], int(d), total[some]
+        deeper = alive & (depths < keys.shape[1])
         part = np.repeat(np.arange(3 * len(depth)), room)
-        stay = alive[part]
-        rows, part = moved[stay], (np.cumsum(alive) - 1)[part[stay]]
-        depth = depths[alive]
+        stay = deeper[part]
+        rows, part, depth = rows[stay], (np.cumsum(deeper) - 1)[part[stay]], depths[deeper]
 
 
 def _counted(least: int, longest: int) -> Callable:
