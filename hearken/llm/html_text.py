@@ -1,25 +1,32 @@
-"""Main text of web pages: page furniture by element, templates by recurrence over a host's pages.
-
-Pages are read into a light element tree by one regular expression; no page is ever an
-error. Elements that hold no article text (scripts, navigation, forms, asides, adverts,
-comments of readers …) are dropped by tag, role and class words. A class word alone drops
-no element that holds all ``article`` and ``main`` elements of the page or, on a page
-without any, more than half of its text. What is left is a list of text blocks in page
-order, each with the hashes of the element subtrees around it.
-
-A subtree's hash covers its tags and its text. For every host Spark counts on how many
-*different* pages a subtree occurs; subtrees on at least ``share`` of them, ``least`` pages
-or more, are the host's template and are deleted wherever they stand. Subtrees that hold an
-``article`` or ``main`` element are never a template. Copies of a page count once, so a
-much copied article is not mistaken for a template.
-
-Counts are combined map-side, so a host with a third of all pages is no hot spot there. The
-template lists (at most 1/``share`` times the subtrees of an average page per host) meet the
-pages by host and a salt, which splits a large host over ``salts`` tasks per list.
+"""Main text of web pages: templates by recurrence over a site's pages, page furniture by element.
+
+Pages are read once from start to end into a light element tree; no page is ever an error,
+and the work is linear in its length whatever is unclosed or nested. Every element below the
+inline ones is a subtree with a hash over its tag, its own text and the hashes of its
+children, so a page has one hash per element, not one per element and ancestor.
+
+All subtrees are hashed and counted, furniture too. For every host, every registered domain
+and all hosts together Spark counts on how many *different* pages a subtree occurs; those on
+at least ``share`` of a level's pages, ``least`` pages or more, are its template and are
+deleted wherever they stand on its pages; a host with few pages thus still has the templates
+of its domain. Subtrees that hold an ``article`` or ``main`` element are never a template.
+Copies of a page count once per host, so a much copied article is not mistaken for a template.
+
+What need not recur goes by what it is: scripts, navigation, forms, asides, hidden elements
+by tag, role and attribute; and containers by a class or id word (``MARKS``), which is a
+prior only: it never counts for paragraphs and headings, inside ``article`` and ``main`` only
+a whole class name counts, and it drops no element that holds all ``article`` and ``main``
+elements of the page or, on a page without any, more than half of its text. ``report`` tells
+how many blocks each rule deletes.
+
+Counts are combined map-side, so a host with a third of all pages is no hot spot there. A
+host's pages meet its list of templates (at most 1/``share`` times the subtrees of an average
+page) by host and a salt, of which a host has one for each ``chunk`` of its pages.
 
 Edge cases: null or empty html gives an empty text; a null url has the empty host, which is
 a host like any other; repeated rows are extracted each; unclosed, stray and misnested tags
-are closed by their parents; an empty table gives an empty result.
+are closed by their parents; a tag that never ends reaches to the end of the page; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,9 +42,11 @@ from pyspark.sql import functions as F
 
 from hearken.llm.common import ascii_lower, stored
 
+#: Attributes up to the end of a tag; a quote counts only behind ``=`` and only if it is closed.
+_REST = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|))*+"""
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe|object|select)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*(?:>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|([^<]+|<)",
+    rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe|object|select)\b{_REST}>.*?(?:</\1\s*+>|\Z)"
+    rf"|<[!?][^>]*+(?:>|\Z)|<(/?)([a-z][a-z0-9:-]*+)({_REST})(?:>|\Z)|([^<]+|<)",
     re.I | re.S,
 )
 #: One attribute after the other, each with its whole value, so that words of values are never taken for names.
@@ -46,8 +55,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
-#: Elements that another opening tag of the same group closes.
-CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Elements that another opening tag of the same group closes; ``p`` closes an open ``p``.
+CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Elements whose class and id words count.
+CONTAINERS = frozenset("div section span ul ol dl table header figure details fieldset center iframe".split())
 FURNITURE = frozenset("head nav footer aside form button menu dialog input select textarea".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Words of class and id names that mark page furniture.
@@ -60,28 +71,31 @@ BLANK = re.compile(r"\s+")
 WORD = re.compile(r"[a-z0-9]+")
 
 
-class Node:
-    __slots__ = ("tag", "drop", "digest", "main", "first", "parent", "held", "marked")
-
-    def __init__(self, tag: str, drop: int, first: int, parent: "Node | None", marked: "tuple[Marked, ...]" = ()):
-        self.tag, self.drop, self.first, self.parent, self.marked = tag, drop, first, parent, marked
-        self.digest, self.main, self.held = xxhash.xxh3_64(tag), tag in ("article", "main"), 0
-
-
-class Marked:
-    """An element that only a class word marks: its number on the page, and the text and main elements in it."""
-
-    __slots__ = ("number", "chars", "mains")
-
-    def __init__(self, number: int):
-        self.number, self.chars, self.mains = number, 0, 0
-
-
 KEEP, MARKED, DROP = range(3)
 
 
-def _furniture(tag: str, attributes: str, inside: bool) -> int:
-    """Is the element page furniture (``DROP``), or only by a class word (``MARKED``)? A header of an article (``inside``) is part of it."""
+class Node:
+    """An open element. ``block`` is the nearest element that is not inline, ``scope`` the depth of the nearest that is
+    neither inline nor ``p``, ``p`` the depth of an open ``p`` inside that scope."""
+
+    __slots__ = ("number", "tag", "state", "whole", "block", "depth", "scope", "p", "hash", "main", "inside", "chars", "mains")
+
+    def __init__(self, number: int, tag: str, state: int, parent: "Node | None"):
+        self.number, self.tag, self.state = number, tag, state
+        self.whole = state if parent is None else max(parent.whole, state)
+        self.depth = 0 if parent is None else parent.depth + 1
+        inline = tag in INLINE
+        self.block = parent.block if inline else self
+        self.scope, self.p = (parent.scope, parent.p) if inline or tag == "p" else (self.depth, 0)
+        if tag == "p":
+            self.p = self.depth
+        self.main = tag in ("article", "main")
+        self.inside = self.main or (parent is not None and parent.inside)
+        self.hash, self.chars, self.mains = None if inline else xxhash.xxh3_64(tag), 0, int(self.main)
+
+
+def _state(tag: str, attributes: str, inside: bool) -> int:
+    """Is the element page furniture (``DROP``), or only by a class word (``MARKED``)? ``inside`` an article, less is."""
     if tag in FURNITURE or (tag == "header" and not inside):
         return DROP
     if not attributes or tag in ("html", "body", "article", "main"):
@@ -91,162 +105,219 @@ def _furniture(tag: str, attributes: str, inside: bool) -> int:
         name, value = name.lower(), next((v for v in values if v), "").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in ROLES):
             return DROP
-        if name in ("class", "id") and not MARKS.isdisjoint(WORD.findall(value)):
+        if tag in CONTAINERS and name in ("class", "id") and not MARKS.isdisjoint(value.split() if inside else WORD.findall(value)):
             found = MARKED
     return found
 
 
-def blocks(page: str | None) -> tuple[list[str], list[list[int]]]:
-    """Text blocks in page order and, for each, the hashes of the subtrees that may be templates around it."""
-    tokens = TOKEN.findall(page or "")
-    texts, held, spared = _walk(tokens, frozenset())
-    if spared:
-        texts, held, _ = _walk(tokens, spared)
-    return texts, held
-
-
-def _walk(tokens: list[tuple[str, ...]], spared: frozenset[int]) -> tuple[list[str], list[list[int]], frozenset[int]]:
-    """As ``blocks``, with the numbers of the marked elements that must be kept; those in ``spared`` are."""
-    texts: list[str] = []
-    marks: list[Marked] = []
-    chars = mains = opened = 0
-    around: list[list[Node]] = []
-    done: dict[int, int] = {}
-    parts: list[str] = []
-    top = Node("", KEEP, 0, None)
-    stack = [top]
-
-    def flush() -> None:
-        text = BLANK.sub(" ", "".join(parts)).strip()
-        parts.clear()
+class Page:
+    """Blocks of text in page order, and the elements as arrays; parents come before their children.
+
+    ``owner`` is the element of a block. Of an element: ``parent``, ``digest`` (0 for inline
+    elements and those that hold an article), and ``gone``, if a rule deletes it with all below.
+    """
+
+    def __init__(self, page: str | None):
+        self.texts: list[str] = []
+        self.owner: list[int] = []
+        self.parent, self.digest, self.state = [0], [0], [KEEP]
+        self.sums: list[tuple[int, int]] = [(0, 0)]
+        top = Node(0, "", KEEP, None)
+        self.stack, self.open, self.parts = [top], {}, []
+        for m in TOKEN.finditer(page or ""):
+            raw, end, name, attributes, text = m.groups()
+            if text:
+                above = self.stack[-1]
+                if above.whole == above.block.whole:
+                    self.parts.append(html.unescape(text))
+                if above.whole < DROP:
+                    above.chars += sum(map(len, text.split()))
+            elif name is None:
+                if raw and raw.lower() != "title":
+                    self.parts.append(" ")
+            elif end:
+                self._end(name.lower())
+            else:
+                self._start(name.lower(), attributes)
+        while len(self.stack) > 1:
+            self._close()
+        self._flush()
+        self.sums[0] = (top.chars, top.mains)
+        self.gone = self._decide()
+
+    def _flush(self) -> None:
+        text = BLANK.sub(" ", "".join(self.parts)).strip()
+        self.parts.clear()
         if text:
-            texts.append(text)
-            around.append([n for n in stack[1:] if n.tag not in INLINE])
-            for n in stack:
-                n.digest.update(text)
-
-    def close(node: Node) -> None:
-        if node.tag not in INLINE:
-            flush()
-        stack.pop()
-        up = stack[-1]
+            block = self.stack[-1].block
+            self.texts.append(text)
+            self.owner.append(block.number)
+            block.hash.update(b"t" + text.encode("utf-8", "surrogatepass"))
+
+    def _start(self, tag: str, attributes: str) -> None:
+        above = self.stack[-1]
+        at = above.p if tag == "p" else above.scope if self.stack[above.scope].tag in CLOSES.get(tag, ()) else 0
+        while at and len(self.stack) > at:
+            self._close()
+        if tag in VOID:
+            if tag in ("br", "wbr", "hr"):
+                self.parts.append("" if tag == "wbr" else " ")
+            return
+        if tag not in INLINE:
+            self._flush()
+        above = self.stack[-1]
+        state = _state(tag, attributes, above.inside)
+        node = Node(len(self.parent), tag, state, above)
+        self.parent.append(above.number)
+        self.digest.append(0)
+        self.state.append(state)
+        self.sums.append((0, 0))
+        self.stack.append(node)
+        self.open.setdefault(tag, []).append(node.depth)
+
+    def _end(self, tag: str) -> None:
+        if self.open.get(tag):
+            at = self.open[tag][-1]
+            while len(self.stack) > at:
+                self._close()
+        elif tag not in INLINE:
+            self._flush()
+
+    def _close(self) -> None:
+        node = self.stack[-1]
+        if node.hash is not None:
+            self._flush()
+        self.stack.pop()
+        self.open[node.tag].pop()
+        up = self.stack[-1]
         up.main |= node.main
-        up.digest.update(b"/")
-        done[id(node)] = node.digest.intdigest()
-
-    for raw, end, name, attributes, text in tokens:
-        if text:
-            above = stack[-1]
-            if not above.drop:
-                parts.append(html.unescape(text))
-            if above.drop < DROP:
-                n = sum(map(len, text.split()))
-                chars += n
-                for m in above.marked:
-                    m.chars += n
-            continue
-        if raw or not name:
-            if raw and raw.lower() != "title":
-                parts.append(" ")
-            continue
-        tag = name.lower()
-        if not end:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in CLOSES.get(tag, ()):
-                    while len(stack) > k:
-                        close(stack[-1])
-                    break
-                if stack[k].tag not in INLINE and stack[k].tag != "p":
-                    break
-            if tag in VOID:
-                if tag in ("br", "wbr", "hr"):
-                    parts.append("" if tag == "wbr" else " ")
-                continue
-            if tag not in INLINE:
-                flush()
-            above = stack[-1]
-            opened += 1
-            own = _furniture(tag, attributes, above.tag in ("article", "main") or any(n.tag in ("article", "main") for n in stack))
-            marked = above.marked
-            if own == MARKED:
-                if opened in spared:
-                    own = KEEP
-                elif above.drop < DROP:
-                    marks.append(Marked(opened))
-                    marked = (*marked, marks[-1])
-            drop = max(above.drop, own)
-            if tag in ("article", "main") and drop < DROP:
-                mains += 1
-                for m in marked:
-                    m.mains += 1
-            node = Node(tag, drop, len(texts), above, marked)
-            above.digest.update(f"<{tag}>")
-            stack.append(node)
-        else:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if k:
-                while len(stack) > k:
-                    close(stack[-1])
-            elif tag not in INLINE:
-                flush()
-    while len(stack) > 1:
-        close(stack[-1])
-    flush()
-    held = [[done[id(n)] - (1 << 63) for n in ns if not n.main] for ns in around]
-    return texts, held, frozenset(m.number for m in marks if (m.mains == mains if mains else 2 * m.chars > chars))
-
-
-PARSED = "host string, url string, page_id long, texts array<string>, trees array<array<long>>"
-
-
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up.chars += node.chars
+        up.mains += node.mains if node.whole < DROP else 0
+        self.sums[node.number] = (node.chars, node.mains)
+        if node.hash is not None:
+            digest = node.hash.intdigest()
+            up.block.hash.update(digest.to_bytes(8, "big"))
+            if not node.main:
+                self.digest[node.number] = (digest or 1) - (1 << 63)
+
+    def _decide(self) -> list[bool]:
+        chars, mains = self.sums[0]
+        gone = [False] * len(self.parent)
+        for k in range(1, len(gone)):
+            own, state = self.sums[k], self.state[k]
+            spared = own[1] == mains if mains else 2 * own[0] > chars
+            gone[k] = gone[self.parent[k]] or state == DROP or (state == MARKED and not spared)
+        return gone
+
+    def kept(self, template: frozenset[int] | set[int] = frozenset()) -> list[str]:
+        """The texts that neither a rule nor the template deletes."""
+        gone = self.gone
+        if template:
+            gone = list(gone)
+            for k in range(1, len(gone)):
+                gone[k] = gone[k] or gone[self.parent[k]] or self.digest[k] in template
+        return [t for t, o in zip(self.texts, self.owner) if not gone[o]]
+
+    def subtrees(self) -> list[int]:
+        """The distinct hashes of subtrees with text that may be templates."""
+        held = {0}
+        for o in self.owner:
+            while o not in held:
+                held.add(o)
+                o = self.parent[o]
+        return sorted({self.digest[k] for k in held} - {0})
+
+
+def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [blocks(x.as_py()) for x in batch.column("html")]
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(n) for n in ("host", "url", "page_id")), pa.array([f[0] for f in found], pa.list_(pa.string())),
-             pa.array([f[1] for f in found], pa.list_(pa.list_(pa.int64())))],
-            names=["host", "url", "page_id", "texts", "trees"],
-        )
+        texts = [" ".join(Page(h.as_py()).kept(set(t.as_py() or ()))) for h, t in zip(batch.column("html"), batch.column("template"))]
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, page, tree): the distinct subtrees of each page, with a fingerprint of the page's text."""
+    """(host, page, trees): the distinct subtrees of each page, with a fingerprint of the page's text."""
     for batch in batches:
-        hosts, prints, trees = [], [], []
-        for host, page in zip(batch.column("host"), batch.column("html")):
-            texts, around = blocks(page.as_py())
-            hosts.append(host.as_py())
-            prints.append(xxhash.xxh3_64_intdigest("\n".join(texts)) - (1 << 63))
-            trees.append(sorted({t for ts in around for t in ts}))
+        prints, trees = [], []
+        for page in batch.column("html"):
+            found = Page(page.as_py())
+            prints.append(xxhash.xxh3_64_intdigest("\n".join(found.kept()).encode("utf-8", "surrogatepass")) - (1 << 63))
+            trees.append(found.subtrees())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(hosts, pa.string()), pa.array(prints, pa.int64()), pa.array(trees, pa.list_(pa.int64()))], names=["host", "page", "trees"]
+            [batch.column("host"), pa.array(prints, pa.int64()), pa.array(trees, pa.list_(pa.int64()))], names=["host", "page", "trees"]
         )
 
 
+def _deletions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rule, blocks): who deletes a block: the template of its site, else the element or class word of an element around it."""
+    for batch in batches:
+        n = dict.fromkeys(("kept", "template", "element", "class word"), 0)
+        for h, t in zip(batch.column("html"), batch.column("template")):
+            page, template = Page(h.as_py()), set(t.as_py() or ())
+            rule = ["kept"] * len(page.parent)
+            for k in range(1, len(rule)):
+                own = "template" if page.digest[k] in template else "element" if page.state[k] == DROP else "class word" if page.gone[k] and page.state[k] == MARKED else "kept"
+                above = rule[page.parent[k]]
+                rule[k] = own if above == "kept" or own == "template" else above
+            for o in page.owner:
+                n[rule[o]] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["rule", "blocks"])
+
+
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z in lower case; empty if there is none."""
     rest = F.when(F.instr(url, "://") > 0, F.substring(url, F.instr(url, "://") + 3, F.length(url)))
     return F.coalesce(ascii_lower(F.regexp_extract(rest, r"^([^/?#]*)", 1)), F.lit(""))
 
 
+def domain_of(host: Column) -> Column:
+    """The last two names of a host."""
+    return F.substring_index(host, ".", -2)
+
+
 def templates(pages: DataFrame, share: float = 0.5, least: int = 8) -> DataFrame:
-    """(host, template): the subtree hashes that recur over a host's pages."""
+    """(host, pages, template): every host with its number of different pages and the subtree hashes that recur over
+    them, over those of its domain, or over all."""
     own = pages.select(F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), "html")
     found = own.mapInArrow(_subtrees, "host string, page long, trees array<long>")
-    once = stored(found.groupBy("host", "page").agg(F.first("trees").alias("trees")))
-    sizes = once.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    counts = once.select("host", F.explode("trees").alias("tree")).groupBy("host", "tree").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    common = counts.join(sizes, "host").filter(F.col("n") >= F.ceil(F.col("pages") * F.lit(share)))
-    return common.groupBy("host").agg(F.collect_list("tree").alias("template"))
+    once = stored(found.groupBy("host", "page").agg(F.min("trees").alias("trees")))
+    sizes = once.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).withColumn("domain", domain_of(F.col("host")))
+    counts = stored(once.select("host", F.explode("trees").alias("tree")).groupBy("host", "tree").agg(F.count(F.lit(1)).alias("n")))
+
+    def common(level: list[str], counted: DataFrame, whole: DataFrame) -> DataFrame:
+        n = counted.groupBy(*level, "tree").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+        met = n.join(whole.groupBy(*level).agg(F.sum("pages").alias("pages")), level)
+        return met.filter(F.col("n") >= F.ceil(F.col("pages") * F.lit(share))).groupBy(*level).agg(F.collect_set("tree").alias("found"))
+
+    counts = counts.withColumn("domain", domain_of(F.col("host"))).withColumn("site", F.lit("all"))
+    sizes = sizes.withColumn("site", F.lit("all"))
+    none = F.array().cast("array<long>")
+    met = sizes
+    for level, name in (("host", "of_host"), ("domain", "of_domain"), ("site", "of_all")):
+        met = met.join(common([level], counts, sizes).withColumnRenamed("found", name), level, "left")
+    lists = [F.coalesce(c, none) for c in ("of_host", "of_domain", "of_all")]
+    return met.select("host", "pages", F.array_distinct(F.concat(*lists)).alias("template"))
+
+
+def _with_templates(pages: DataFrame, share: float, least: int, chunk: int) -> DataFrame:
+    """page_id, url, html and the template of the page's host (null where there is none)."""
+    found = stored(templates(pages, share, least))
+    some = found.filter(F.size("template") > 0).withColumn("salts", F.ceil(F.col("pages") / F.lit(chunk)).cast("int"))
+    salted = some.select("host", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "template")
+    # hosts with more than one salt: at most one for each chunk of all pages
+    large = some.filter("salts > 1").select("host", "salts")
+    rows = pages.select(F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), "url", F.col("page_id").cast("long").alias("page_id"), "html")
+    rows = rows.join(large, "host", "left")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    return rows.join(salted, ["host", "salt"], "left").select("page_id", "url", "html", "template")
 
 
-def extract(pages: DataFrame, share: float = 0.5, least: int = 8, salts: int = 32) -> DataFrame:
+def extract(pages: DataFrame, share: float = 0.5, least: int = 8, chunk: int = 20_000) -> DataFrame:
     """page_id, url, text and n_chars per page."""
-    found = stored(templates(pages, share, least))
-    salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    parsed = pages.select(host_of(F.col("url")).alias("host"), "url", F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(_parse, PARSED)
-    parsed = parsed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
-    met = parsed.join(salted, ["host", "salt"], "left")
-    kept = F.filter(F.arrays_zip("texts", "trees"), lambda b: ~F.coalesce(F.arrays_overlap(b["trees"], F.col("template")), F.lit(False)))
-    text = F.array_join(F.transform(kept, lambda b: b["texts"]), " ")
-    return met.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    out = _with_templates(pages, share, least, chunk).mapInArrow(_render, "page_id long, url string, text string")
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def report(pages: DataFrame, share: float = 0.5, least: int = 8, chunk: int = 20_000) -> DataFrame:
+    """(rule, blocks): how many blocks of text each rule deletes, and how many are kept. A template is named first."""
+    found = _with_templates(pages, share, least, chunk).mapInArrow(_deletions, "rule string, blocks long")
+    return found.groupBy("rule").agg(F.sum("blocks").alias("blocks"))

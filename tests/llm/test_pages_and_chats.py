@@ -13,7 +13,7 @@ JSON = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def text_of(page):
-    return " ".join(html_text.blocks(page)[0])
+    return " ".join(html_text.Page(page).kept())
 
 
 @pytest.mark.parametrize(
@@ -64,6 +64,81 @@ def test_templates_of_a_host_go_and_articles_stay(spark):
     assert html_text.extract(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<article><p class="share price">a</p><p class="social-history">b</p><p id="menu-prices">c</p><h2 class="legal">d</h2></article>', "a b c d"),
+        ('<p class="share price">a</p><p id="menu-prices">c</p><li class="related">d</li>', "a c d"),
+        ('<article><p>a</p><div class="share-price">b</div><div class="ad">buy</div><section class="comments x">no</section></article>', "a b"),
+        ('<p>a <span class="ad">buy</span> b</p><p>and more text than that</p>', "a b and more text than that"), ("<a href='x>y</a> z", "y z"), ('<p class=foo">a</p>', "a"),
+        ("<b><p>a<b><p>c</b>d", "a c d"), ("<p>x</p><a ", "x"), ("<title>t</title><iframe>i</iframe><p>x", "x"),
+    ],
+)
+def test_class_words_of_containers_only(page, want):
+    assert text_of(page) == want
+
+
+@pytest.mark.parametrize("page", ["<a " * 340_000 + '"', "<div>x" * 100_000, "<b>" * 50_000 + "<p>x" * 50_000 + "</i>" * 50_000, "<div class=ad>" * 50_000 + "y", "<ul><li>a" * 50_000, "<a b='" * 50_000])
+def test_broken_pages_take_linear_time(page):
+    import time
+
+    start = time.process_time()
+    found = html_text.Page(page)
+    found.kept({1}), found.subtrees()
+    assert time.process_time() - start < 20
+
+
+def naive_trees(page):
+    """Every block element's subtree as nested tuples, with its text, by a plain recursive reading of well formed pages."""
+    import re
+    from html import unescape
+
+    tokens = re.findall(r"<(/?)(\w+)[^>]*>|([^<]+)", page)
+    stack, done = [["", []]], []
+    for end, tag, text in tokens:
+        if text:
+            stack[-1][1].append(unescape(text).strip())
+        elif end:
+            tag, inner = stack.pop()
+            tree = (tag, tuple(inner))
+            stack[-1][1].append(tree)
+            done.append(tree)
+        else:
+            stack.append([tag, []])
+    has_main = lambda t: t[0] in ("article", "main") or any(has_main(c) for c in t[1] if isinstance(c, tuple))
+    has_text = lambda t: any(has_text(c) if isinstance(c, tuple) else c for c in t[1])
+    return {t for t in done if has_text(t) and not has_main(t)}
+
+
+def test_templates_equal_brute_force_counts(spark):
+    import random
+    from collections import Counter
+
+    r = random.Random(9)
+    boxes = [f"<div><p>box {k}</p><section>in {k % 3}</section></div>" for k in range(6)] + ["<nav>menu</nav>", "<div class='ad'>buy</div>", "<p>in 1</p>"]
+    hosts = [("a.one.example", 40), ("b.one.example", 5), ("c.one.example", 3), ("two.example", 12)]
+    pages = []
+    for host, n in hosts:
+        always = r.sample(boxes, 3) if host != "b.one.example" else []
+        for k in range(n):
+            own = [b for b in boxes if b in always or r.random() < 0.3]
+            pages.append((len(pages), f"http://{host}/{k}", "".join(own) + f"<article><p>story {host} {k}</p></article>"))
+    pages += [(len(pages), u, h) for _, u, h in pages[:7]]  # copies count once
+    once = {(u.split("/")[2], h): naive_trees(h) for _, u, h in pages}
+    want = {}
+    for level in (lambda h: h, lambda h: ".".join(h.split(".")[-2:]), lambda h: ""):
+        n, counts = Counter(level(h) for h, _ in once), Counter((level(h), t) for (h, _), ts in once.items() for t in ts)
+        for h, _ in hosts:
+            want.setdefault(h, set()).update(t for (v, t), c in counts.items() if v == level(h) and c >= 8 and 2 * c >= n[v])
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {x["host"]: len(x["template"]) for x in html_text.templates(frame).collect()}
+    assert got == {h: len(t) for h, t in want.items()} and got["c.one.example"] > 0
+    rules = {x["rule"]: x["blocks"] for x in html_text.report(frame).collect()}
+    assert rules["template"] > 100 and sum(rules.values()) == sum(len(html_text.Page(h).texts) for _, _, h in pages)
+    by_chunk = {x["page_id"]: x["text"] for x in html_text.extract(frame, chunk=3).collect()}
+    assert by_chunk == {x["page_id"]: x["text"] for x in html_text.extract(frame).collect()}
+
+
 URLS = [
     (1, "http://a.example.net/en/x"), (2, "http://A.Example.NET/de/x?q=1#f"), (3, "https://example.com/de/"), (4, "https://example.com/de"), (5, "http://b.org/fr/1.html"),
     (6, "http://notexample.com/de/1"), (7, None), (8, "no scheme"), (9, "http://"), (10, "http://x.net"), (11, "x://y://z/p?a://b"), (12, "http://net/1"), (1, "http://a.example.net/en/x"),
