@@ -205,28 +205,52 @@ def test_long_runs_in_a_conversation(spark):
     assert got[0].loss_chars == 1_200_000 and got[0].loss_sha256 == hashlib.sha256(b"\n" * 1_200_000).hexdigest()
 
 
-def test_tree_layout(spark):
-    frame = spark.createDataFrame(CONVS, "conv_id long, turn long, role string, text string")
-    stream, members = chat_tree.build(frame, JSON)
-    nodes = {r.path: r for r in stream.collect()}
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_tree_layout(spark, ranges):
+    frame = spark.createDataFrame(CONVS + [(20 + k, t, "user", f"{(k * 7919 % 50) // 10 ** (2 - t)}") for k in range(50) for t in range(3)], "conv_id long, turn long, role string, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", str(ranges))
+    try:
+        tree = chat_tree.build(frame, JSON)
+        nodes = {r.node: r for r in tree.stream.collect()}
+        rows = tree.nodes.collect()
+        spans = {r.conv_id: list(zip(r.start, r.stop)) for r in chat_tree.intervals(tree).collect()}
+        digests = {r.conv_id: r for r in chat_tree.digests(frame, JSON).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(nodes) == sum(not r.again for r in rows) and (ranges == 1) == (not any(r.again for r in rows))
     paths = {}
-    for r in members.collect():
-        paths.setdefault(r.conv_id, []).append((r.depth, r.path))
-    assert sum(r.n_conversations for r in nodes.values()) == len(CONVS)
-    shared = [r for r in nodes.values() if r.n_conversations == 3]
-    assert len(shared) == 1 and shared[0].first_position == 0
+    for r in tree.members.collect():
+        path, at = [], r.leaf
+        while at is not None:
+            path.append(at)
+            at = nodes[at].parent
+        paths[r.conv_id] = path[::-1]
+    assert sum(r.n_conversations for r in nodes.values()) == frame.count() == sum(map(len, paths.values()))
+    assert [r.first_position for r in nodes.values() if r.n_conversations == 3 and r.depth == 0] == [0]
     at = 0
     for r in sorted(nodes.values(), key=lambda r: r.start):
         assert r.start == at
         at += r.length
-    for own in paths.values():
+    for conv, own in paths.items():
         before = 0
-        for depth, path in sorted(own):
-            n = nodes[path]
-            assert n.first_position == before
+        for depth, name in enumerate(own):
+            n = nodes[name]
+            assert (n.depth, n.first_position) == (depth, before)
             before += n.length
-            inside = {p for p, m in nodes.items() if m.start <= n.start < m.visible_until}
-            assert inside == {path[: chat_tree.STEP * k] for k in range(1, depth + 2)}
-    spans = {r.conv_id: r.attends for r in chat_tree.intervals(stream, members).collect()}
-    assert all([(a["from"], a["to"]) for a in spans[c]] == [(nodes[p].start, nodes[p].start + nodes[p].length) for _, p in sorted(own)] for c, own in paths.items())
+            assert {p for p, m in nodes.items() if m.start <= n.start < m.visible_until} == set(own[: depth + 1])
+        assert spans[conv] == [(nodes[p].start, nodes[p].start + nodes[p].length) for p in own]
+        assert digests[conv].n_tokens == before
     assert chat_tree.digests(frame.limit(0), JSON).count() == 0
+
+
+def test_a_conversation_of_ten_thousand_turns(spark):
+    turns = [(1, k, ["user", "assistant"][k % 2], f"turn {k}") for k in range(10_000)]
+    rows = turns + [(2, *t[1:]) for t in turns[:9_999]] + [(3, *t[1:]) for t in turns[:5_000]] + [(3, 5_000, "user", "else")]
+    tree = chat_tree.build(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), JSON)
+    assert tree.stream.count() == 10_001
+    got = {r.conv_id: r for r in chat_tree.read_back(tree, JSON).collect()}
+    under = "".join(t[3] for t in turns if t[2] == "assistant")
+    assert got[1].n_turns == 10_000 and got[1].loss_sha256 == hashlib.sha256(under.encode()).hexdigest()
+    assert (got[2].n_turns, got[3].n_turns) == (9_999, 5_001)
