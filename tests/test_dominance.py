@@ -77,3 +77,18 @@ def test_folds_of_ids_with_one_prefix_are_spread(spark):
     assert folds.agg(F.countDistinct("fold").alias("n"), F.min("fold").alias("a"), F.max("fold").alias("b")).first() == (n, 0, n - 1)
     laid = frame.repartitionByRange(8, "name").groupBy(F.spark_partition_id()).count().toPandas()["count"]
     assert laid.max() <= 2 * laid.median()
+
+
+@pytest.mark.parametrize("inclusive", [True, False])
+def test_similar_devices_where_scores_lie_dense(spark, inclusive, monkeypatch):
+    from hearken.operators import ranking
+
+    monkeypatch.setattr(ranking, "BLOCK_ROWS", 8)
+    rng = np.random.default_rng(8)
+    scores = np.concatenate([rng.normal(50, 0.5, 150).round(1), rng.uniform(0, 100, 40).round(1), [48.0] * 30])
+    known = [("g" if k % 3 else "h", f"k{k}", float(s)) for k, s in enumerate(scores)]
+    pred = [("g", f"k{k}", float(scores[k])) for k in range(1, 40, 3)] + [("g", "new", 50.0), ("h", "far", 500.0), ("h", "low", -5.0), ("none", "x", 50.0)]
+    got = ranking.similar_devices(spark.createDataFrame(pred, "g string, name string, prediction double"), spark.createDataFrame(known, "g string, known string, score double"), ["g"], 2.0, inclusive)
+    want = {(g, n, k) for g, n, p in pred for h, k, s in known if g == h and k != n and (abs(p - s) < 2.0 if inclusive else abs(p - s) <= 2.0)}
+    rows = [(r.g, r.name, r.known) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
