@@ -126,7 +126,7 @@ def test_neighbours_against_loops(spark):
 def test_expected_win(spark):
     u = {"a": 1.0, "b": 0.2, "c": -3.0}
     df = spark.createDataFrame([("x", k, v) for k, v in u.items()] + [("y", "solo", 4.0)], "d string, name string, u double")
-    got = {r["name"]: r["expected_pairwise_win_percent"] for r in R.expected_win(df, ["d"], "name", "u", block_rows=1).collect()}
+    got = {r["name"]: r["expected_pairwise_win_percent"] for r in R.expected_win(df, ["d"], "name", "u").collect()}
     for k, v in u.items():
         assert got[k] == pytest.approx(100 * np.mean([1 / (1 + np.exp(-(v - o))) for n, o in u.items() if n != k]))
     assert got["solo"] == 50.0
