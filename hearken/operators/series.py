@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from hearken.operators.skew import keyed_join
 
@@ -72,8 +75,9 @@ def silence_segments(
     (tested after padding). Frames absent from the table are silent; ``length`` names a
     column with the recording length, else it ends with its last frame.
 
-    Runs are found per chunk of ``chunk`` frames and stitched afterwards, so a very
-    long recording is cut over many tasks; only its runs meet in one window.
+    Runs are found per chunk of ``chunk`` frames. Only a chunk's first and last run can go on
+    in another chunk, so only these, two rows a chunk at most, are stitched in one window
+    for a recording; segments are numbered by chunk with the counts of earlier chunks.
     """
     span = frames.groupBy(*keys).agg(
         (F.max(F.col(length).cast("double")) if length else ((F.max("frame") + 1) * float(hop)).cast("double")).alias("__end")
@@ -86,16 +90,22 @@ def silence_segments(
         numbered = df.withColumn("__run", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(w))
         return numbered.groupBy(*part, "__run").agg(F.min(start).alias("__s"), F.max(stop).alias("__e")).drop("__run")
 
-    local = runs(active.withColumn("__stop", F.col("frame") + 1), [*keys, "__c"], "frame", "__stop").drop("__c")
-    merged = runs(local.withColumnsRenamed({"__s": "__s0", "__e": "__e0"}), list(keys), "__s0", "__e0")
+    local = runs(active.withColumn("__stop", F.col("frame") + 1), [*keys, "__c"], "frame", "__stop")
+    ends = Window.partitionBy(*keys, "__c")
+    local = local.withColumn("__edge", (F.col("__s") == F.min("__s").over(ends)) | (F.col("__s") == F.max("__s").over(ends)))
+    stitched = runs(local.filter("__edge").withColumnsRenamed({"__s": "__s0", "__e": "__e0"}), list(keys), "__s0", "__e0")
+    merged = stitched.unionByName(local.filter("not __edge").select(*keys, "__s", "__e"))
     padded = keyed_join(merged, span, keys).select(
-        *keys,
+        *keys, "__s",
         F.greatest(F.lit(0.0), F.col("__s") * float(hop) - float(pad)).alias("segment_start"),
         F.least(F.col("__end"), F.col("__e") * float(hop) + float(pad)).alias("segment_end"),
     )
     kept = padded.filter(F.col("segment_end") - F.col("segment_start") >= float(min_length))
-    order = Window.partitionBy(*keys).orderBy("segment_start", "segment_end")
-    numbered = kept.withColumn("segment", (F.row_number().over(order) - 1).cast("long"))
+    kept = kept.withColumn("__c", F.floor(F.col("__s") / F.lit(chunk)))
+    earlier = Window.partitionBy(*keys).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+    before = kept.groupBy(*keys, "__c").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
+    order = Window.partitionBy(*keys, "__c").orderBy("__s")
+    numbered = keyed_join(kept, before, [*keys, "__c"]).withColumn("segment", F.col("__before") + F.row_number().over(order) - 1)
     if drop_first:
         numbered = numbered.filter(F.col("segment") > 0).withColumn("segment", F.col("segment") - 1)
     return numbered.withColumn("duration", F.col("segment_end") - F.col("segment_start")).select(
@@ -109,34 +119,67 @@ def standardise(series: DataFrame, keys: Sequence[str], value: str = "value") ->
     return keyed_join(series, stats, keys).withColumn(value, (F.col(value) - F.col("__m")) / F.col("__s")).drop("__m", "__s")
 
 
-def correlations(ref: DataFrame, test: DataFrame, keys: Sequence[str], max_lag: int, index: str = "i", value: str = "value") -> DataFrame:
-    """Plain cross-correlation of standardised series for every lag within ``max_lag``.
+def _correlate(names: list[str], length: int, reach: int, schema: pa.Schema):
+    """Correlations of blocks by FFT: a row per series and lag, summed over the blocks of a batch."""
+    size = 1 << (length + 2 * reach - 1).bit_length()
 
-    Reference samples are sent to their 2*max_lag+1 partner positions and meet the
-    test samples in an equi-join on (series, position): spread by position, so one
-    long series does not land in one task.
+    def spread(cells: pa.Scalar, n: int) -> tuple[np.ndarray, np.ndarray]:
+        at, v = cells.values.field("i").to_numpy(), cells.values.field("v").to_numpy()
+        return np.bincount(at, weights=v, minlength=n), np.bincount(at, minlength=n).astype(float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums: dict[tuple, np.ndarray] = {}
+            for k, (left, right) in enumerate(zip(batch.column("__r"), batch.column("__t"))):
+                x, y = np.array(spread(left, length)), np.array(spread(right, length + 2 * reach))
+                lags = np.fft.irfft(np.fft.rfft(y, size) * np.conj(np.fft.rfft(x, size)), size)[:, : 2 * reach + 1]
+                key = tuple(batch.column(n)[k].as_py() for n in names)
+                sums[key] = sums[key] + lags if key in sums else lags
+            for key, (total, pairs) in sums.items():
+                met = np.flatnonzero(np.rint(pairs) > 0)
+                columns = [pa.array([v] * len(met), schema.field(n).type) for n, v in zip(names, key)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(met - reach, pa.int32()), pa.array(total[met])], names=[*names, "lag", "correlation"])
+
+    return run
+
+
+def correlations(
+    ref: DataFrame, test: DataFrame, keys: Sequence[str], max_lag: int, index: str = "i", value: str = "value", block: int | None = None
+) -> DataFrame:
+    """Plain cross-correlation of standardised series for every lag within ``max_lag`` at which samples meet.
+
+    Series are cut into blocks of ``block`` reference samples; the test samples up to
+    ``max_lag`` around a block go with it, so a sample is in a few blocks however many lags
+    there are. A pair of blocks gives its part of all lags by one Fourier product (overlap-save),
+    and the parts are summed by lag. One long series is thus many tasks.
     """
-    r = standardise(ref.select(*keys, index, value), keys, value)
-    t = standardise(test.select(*keys, index, value), keys, value)
-    shifted = r.withColumn("lag", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag)))).select(
-        *keys, "lag", (F.col(index) + F.col("lag")).alias(index), F.col(value).alias("__rv")
-    )
-    return (
-        keyed_join(shifted, t, [*keys, index])
-        .groupBy(*keys, "lag")
-        .agg(F.sum(F.col("__rv") * F.col(value)).alias("correlation"))
-    )
+    block = block or max(8192, 1 << (2 * max_lag).bit_length())
+    r = standardise(ref.select(*keys, index, value), keys, value).filter(F.col(value).isNotNull())
+    t = standardise(test.select(*keys, index, value), keys, value).filter(F.col(value).isNotNull())
+
+    def cells(df: DataFrame, first: int, out: str) -> DataFrame:
+        cell = F.struct((F.col(index) - F.col("__b") * block + first).cast("int").alias("i"), F.col(value).cast("double").alias("v"))
+        return df.groupBy(*keys, "__b").agg(F.collect_list(cell).alias(out))
+
+    part = lambda shift: F.floor((F.col(index) + F.lit(shift)) / F.lit(block)).cast("long")
+    left = cells(r.withColumn("__b", part(0)), 0, "__r")
+    right = cells(t.withColumn("__b", F.explode(F.sequence(part(-max_lag), part(max_lag)))), max_lag, "__t")
+    both = keyed_join(left, right, [*keys, "__b"]).select(*keys, "__r", "__t")
+    typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.select(*keys).schema)
+    arrow = to_arrow_schema(both.select(*keys).schema)
+    parts = both.mapInArrow(_correlate(list(keys), block, max_lag, arrow), f"{typed}{', ' if keys else ''}lag int, correlation double")
+    return parts.groupBy(*keys, "lag").agg(F.sum("correlation").alias("correlation"))
 
 
 def estimate_lag(
     ref: DataFrame, test: DataFrame, keys: Sequence[str], max_lag: int, scale: float = 1.0, index: str = "i", value: str = "value"
 ) -> DataFrame:
-    """Lag of the test series with the largest correlation; the smallest lag wins a tie.
+    """Lag of the test series with the largest correlation; the smallest lag wins a tie (to nine decimals).
 
     ``scale`` converts the (coarser) grid of the inputs to the fine grid.
     """
     best = correlations(ref, test, keys, max_lag, index, value).groupBy(*keys).agg(
-        F.max_by("lag", F.struct("correlation", -F.col("lag"))).alias("lag"), F.max("correlation").alias("correlation")
+        F.max_by("lag", F.struct(F.round("correlation", 9), -F.col("lag"))).alias("lag"), F.max("correlation").alias("correlation")
     )
     return best.withColumn("lag_samples", F.rint(F.col("lag") * float(scale)).cast("long"))
 
