@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from checks import adapters as A
 from checks.registry import check, r, tidy
 from checks.rollups import AGG_SQL, rated_fit
 from checks.sources import scratch
-from hearken.config import PRIMARY, STABILITY
+from hearken.config import METRICS, PRIMARY, STABILITY
 from hearken.operators import linear as L
 from hearken.operators.normalize import expected_items, fit_normalization
 from hearken.operators.skew import keyed_join
@@ -171,22 +172,54 @@ def d27(spark, sf):
     return tidy(B.bootstrap_summary(o, li.select("name", "subdir", F.col("p").alias("predicted_percentile")), modes)["overall_summary"])
 
 
-@check("j14_resample_shape", f"WITH {A.XM}, g AS (SELECT name, subdir, count(*) AS n FROM xm GROUP BY 1, 2) SELECT name, subdir, CAST(20 AS BIGINT) AS replicates, n * 20 AS n_rows, CAST(1 AS BIGINT) AS in_range, CAST(1 AS BIGINT) AS items_known FROM g")
+@check("j14_resample_shape", f"WITH {A.XM}, g AS (SELECT name, subdir, count(*) AS n FROM xm GROUP BY 1, 2) SELECT name, subdir, CAST(500 AS BIGINT) AS replicates, n * 500 AS n_rows, CAST(1 AS BIGINT) AS in_range, CAST(1 AS BIGINT) AS items_known FROM g")
 def j14(spark, sf):
     x = A.x_metrics(spark, sf)
-    b = keyed_join(B.resample(x, 20, 5), x.select("name", "subdir", "x", F.lit(True).alias("__k")), ["name", "subdir", "x"], "left")
+    b = keyed_join(B.resample(x, 500, 5), x.select("name", "subdir", "x", F.lit(True).alias("__k")), ["name", "subdir", "x"], "left")
     fine = F.col("cosim_mean").between(-0.999999, 0.999999) & (F.col("l2_mean") >= 0) & (F.col("kl_mean") >= 0) & (F.col("js_mean") >= 0)
     return tidy(b.groupBy("name", "subdir").agg(F.countDistinct("replicate").alias("replicates"), F.count(F.lit(1)).alias("n_rows"), F.bool_and(fine).alias("in_range"), (F.count("__k") == F.count(F.lit(1))).alias("items_known")))
 
 
-@check("j14_bootstrap_intervals", f"WITH {PRED} SELECT name, CAST(24 AS BIGINT) AS bootstrap_replicates, CAST(1 AS BIGINT) AS ordered, CAST(1 AS BIGINT) AS has_point, 'A' AS limited_ci_subdirs FROM op")
+@check("j14_bootstrap_intervals", f"WITH {PRED} SELECT name, CAST(500 AS BIGINT) AS bootstrap_replicates, CAST(1 AS BIGINT) AS ordered, CAST(1 AS BIGINT) AS has_point, 'A' AS limited_ci_subdirs FROM op")
 def j14b(spark, sf):
     x, model = given_model(spark, sf)
-    out = B.predict_with_intervals(model, x, 24, 3)["ranking"]
+    out = B.predict_with_intervals(model, x, 500, 3)["ranking"]
     ordered = (F.col("overall_ci_low") <= F.col("overall_ci_high")) & (F.col("possible_rank_low") <= F.col("possible_rank_high"))
     return tidy(out.select("name", "bootstrap_replicates", ordered.alias("ordered"), F.col("overall_prediction").isNotNull().alias("has_point"), "limited_ci_subdirs"))
 
 
+def formula_draw(name, subdir, n, replicate):
+    """Draws that SQL can repeat."""
+    slot = np.arange(n)
+    return (slot * 7 + replicate * 13) % n, np.sin(replicate * 31 + slot * 17 + np.arange(len(METRICS))[:, None])
+
+
+def _redrawn(k, m):
+    drawn = f"p.{m.mean} + sin(r * 31 + i.slot * 17 + {k}) * sqrt(greatest(p.{m.var}, 0) / greatest(1.0, (p.n_windows + 4) / 5.0))"
+    return f"{f'least(greatest({drawn}, -0.999999), 0.999999)' if m.transform == 'fisher' else f'greatest({drawn}, 0)'} AS {m.mean}, p.{m.var}"
+
+
+#: Replicates of all devices, named device#replicate, beside the devices that the statistics are fitted on.
+_COLUMNS = ", ".join(f"{m.mean}, {m.var}" for m in METRICS)
+_REPLICATES = f"""it AS (SELECT *, row_number() OVER (PARTITION BY name, subdir ORDER BY x) - 1 AS slot, count(*) OVER (PARTITION BY name, subdir) AS n FROM xm0),
+    xm AS (SELECT name, subdir, x, n_windows, {_COLUMNS} FROM xm0 UNION ALL
+    SELECT i.name || '#' || r, i.subdir, p.x, p.n_windows, {', '.join(_redrawn(k, m) for k, m in enumerate(METRICS))}
+    FROM it i, (SELECT unnest(range(500)) AS r) JOIN it p ON p.name = i.name AND p.subdir = i.subdir AND p.slot = (i.slot * 7 + r * 13) % i.n)"""
+_DRAWN = PRED.replace(A.XM, A.XM.replace(" xm AS (", " xm0 AS (") + ", " + _REPLICATES)
+
+
+@check("j14_replicate_values", f"""WITH {_DRAWN}, rp AS (SELECT string_split(name, '#')[1] AS name, p FROM op WHERE contains(name, '#')),
+    rk AS (SELECT rp.name, p, 1 + (SELECT count(*) FROM ov WHERE overall_human_score > p AND ov.name <> rp.name) AS k FROM rp)
+    SELECT name, count(*) AS bootstrap_replicates, {r('quantile_cont(p, 0.025)')} AS overall_ci_low, {r('quantile_cont(p, 0.975)')} AS overall_ci_high,
+    CAST(floor(quantile_cont(CAST(k AS DOUBLE), 0.025)) AS BIGINT) AS possible_rank_low, CAST(ceil(quantile_cont(CAST(k AS DOUBLE), 0.975)) AS BIGINT) AS possible_rank_high FROM rk GROUP BY 1""")
+def j14_values(spark, sf):
+    """The whole bootstrap with 500 replicates on given draws."""
+    x, model = given_model(spark, sf)
+    reps = B.bootstrap_replicates(model, x, 500, draw=formula_draw)
+    out = B.bootstrap_summary(reps["overall_replicates"], reps["subdir_replicates"], B.resampling_modes(x))["overall_summary"]
+    return tidy(out.select("name", "bootstrap_replicates", "overall_ci_low", "overall_ci_high", "possible_rank_low", "possible_rank_high"))
+
+
 # --- window-level job --------------------------------------------------------------
 @check("j18_window_training", f"WITH {NAT_D}, p AS (SELECT name, subdir, count(*) AS n FROM nat_windows GROUP BY 1, 2) SELECT p.name, p.subdir, n AS n_windows_total, CAST(1 AS BIGINT) AS has_prediction, (SELECT count(*) FROM sub WHERE sub.subdir = p.subdir) AS reference_device_count FROM p")
 def j18(spark, sf):

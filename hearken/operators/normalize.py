@@ -164,18 +164,19 @@ def quality_columns() -> dict[str, Column]:
     return out
 
 
-def apply_normalization(x: DataFrame, stats: DataFrame) -> DataFrame:
-    """Normalised items; statistics fall back from item to subdir to global, and the level is recorded.
+STAT_COLS = [f"{m.key}_t__{s}" for m in METRICS for s in ("center", "scale", "method")]
+
+
+def with_statistics(x: DataFrame, stats: DataFrame) -> DataFrame:
+    """Items with their centers, scales and methods; they fall back from item to subdir to global, and ``__level`` tells which.
 
     A row's level is the same for all four metrics because every level is fitted for all of them.
     """
-    names = [f"{m.key}_t__{s}" for m in METRICS for s in ("center", "scale", "method")]
 
     def at(level: str, keys: list[str]) -> DataFrame:
-        return stats.filter(F.col("level") == level).select(*keys, F.struct(*names).alias(f"__{level}"))
+        return stats.filter(F.col("level") == level).select(*keys, F.struct(*STAT_COLS).alias(f"__{level}"))
 
-    out = stabilise(x)
-    out = keyed_join(out, at("subdir_x", ["subdir", "x"]), ["subdir", "x"], "left")
+    out = keyed_join(x, at("subdir_x", ["subdir", "x"]), ["subdir", "x"], "left")
     out = keyed_join(out, at("subdir_fallback", ["subdir"]), ["subdir"], "left")
     # The global level is a single row by construction.
     out = keyed_join(out, at("global_fallback", []), [], "left", small=True)
@@ -184,10 +185,14 @@ def apply_normalization(x: DataFrame, stats: DataFrame) -> DataFrame:
         .when(F.col("__subdir_fallback").isNotNull(), F.lit("subdir_fallback"))
         .otherwise(F.lit("global_fallback"))
     )
-    out = out.withColumn("__level", level).withColumn(
-        "__stat", F.coalesce("__subdir_x", "__subdir_fallback", "__global_fallback")
-    )
-    out = out.withColumns({n: F.col(f"__stat.{n}") for n in names}).withColumns(quality_columns())
+    found = F.coalesce("__subdir_x", "__subdir_fallback", "__global_fallback")
+    out = out.withColumns({"__level": level, "__stat": found}).withColumns({n: F.col(f"__stat.{n}") for n in STAT_COLS})
+    return out.drop("__stat", "__subdir_x", "__subdir_fallback", "__global_fallback")
+
+
+def apply_normalization(x: DataFrame, stats: DataFrame) -> DataFrame:
+    """Normalised items, with the level and the method of their statistics."""
+    out = with_statistics(stabilise(x), stats).withColumns(quality_columns())
     kept = [
         *x.columns,
         "n_effective",

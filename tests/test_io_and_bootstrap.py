@@ -120,8 +120,24 @@ def test_bootstrap(spark):
     again = B.bootstrap_replicates(model, new.repartition(5), 60, 1)["overall_replicates"]
     diff = out["overall_replicates"].alias("a").join(again.alias("b"), ["replicate", "name"]).filter("abs(a.overall_prediction - b.overall_prediction) > 1e-9")
     assert diff.isEmpty()
-    z = spark.range(20000).select(B.standard_normal(F.col("id")).alias("z")).agg(F.avg("z"), F.stddev("z"), F.kurtosis("z")).first()
-    assert abs(z[0]) < 0.03 and abs(z[1] - 1) < 0.03 and abs(z[2]) < 0.15
+    draw = B.seeded(4)
+    picks, z = zip(*(draw("d", "s", 50, r) for r in range(400)))
+    z = np.concatenate([v.reshape(-1) for v in z])
+    assert abs(z.mean()) < 0.03 and abs(z.std() - 1) < 0.03 and np.bincount(np.concatenate(picks), minlength=50).min() > 300
+
+
+def test_replicates_equal_the_pipeline_on_resampled_rows(spark):
+    """Every replicate is what plain scoring gives for its rows."""
+    x, _, ov = make_table()
+    model = small_model(spark, x, ov)
+    new = spark.createDataFrame(x[x.name.isin(["d2", "d4", "d5"])])
+    got = {(r.replicate, r.name): r.overall_prediction for r in B.bootstrap_replicates(model, new, 70, 9)["overall_replicates"].collect()}
+    rows = B.resample(new, 70, 9).toPandas()
+    assert len(got) == 210
+    for replicate in (0, 63, 64, 69):
+        own = spark.createDataFrame(rows[rows.replicate == replicate].drop(columns="replicate"))
+        for r in scoring.score_devices(model, own)["overall"].collect():
+            assert got[replicate, r["name"]] == pytest.approx(r["overall_prediction"], abs=1e-9)
 
 
 def test_prediction_with_missing_subdir(spark):
