@@ -5,9 +5,9 @@ expressions over one text; the minimum-covariance-determinant fit is a chain of
 aggregates, so a source with a third of all rows is only a third of the map side.
 
 Edge cases: a null or blank text has no words and fails the base rules; a null ``lang`` or
-``source`` forms a group of its own; repeated rows count as often as they occur; groups with
-fewer than ``min_rows`` documents take the estimate of their language, else of all documents;
-an empty table gives an empty result. Existing columns never clash: results are either
+``source`` forms a group of its own; repeated rows count as often as they occur; the estimate
+of a small group lies near that of its language, and that of a small language near that of all
+documents; an empty table gives an empty result. Existing columns never clash: results are either
 selected by name or the input row is carried inside a struct.
 """
 
@@ -17,6 +17,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hearken.llm.common import stored
 
@@ -126,7 +127,7 @@ def _moments(rows: DataFrame, keep: Column) -> DataFrame:
     kept = rows.filter(keep)
     sums = [F.avg(c).alias(f"m_{c}") for c in x]
     cross = [F.covar_pop(a, b).alias(f"c_{a}_{b}") for i, a in enumerate(x) for b in x[: i + 1]]
-    out = kept.groupBy("g").agg(*sums, *cross)
+    out = kept.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *sums, *cross)
     return out.withColumns({f"c_{a}_{a}": F.col(f"c_{a}_{a}") + F.lit(FLOORS[a] ** 2) for a in x})
 
 
@@ -190,29 +191,69 @@ def _start(rows: DataFrame) -> DataFrame:
     return out.withColumns(zero | {f"c_{a}_{a}": F.col(f"s_{a}") ** 2 + F.lit(FLOORS[a] ** 2) for a in x})
 
 
-def fit(stats: DataFrame, share: float = 0.75, steps: int = 3, min_rows: int = 200) -> DataFrame:
-    """Location and Cholesky factor per (language, source), per language and for all documents.
+#: Bytes up to which a table of groups is broadcast, and the tasks that share a group beyond that.
+SMALL, SALTS = 8 << 20, 64
+
+
+def _with_group(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the values of their group from a written table with a row for every group.
+
+    A group may hold any share of the rows (``*`` holds all), so they are never dealt by group
+    alone: a table whose size is counted to be small is broadcast, a larger one repeated per salt.
+    """
+    width = sum(len(f.dataType) if isinstance(f.dataType, T.StructType) else 1 for f in groups.schema)
+    if groups.count() * (16 * width + 64) <= SMALL:
+        return rows.join(F.broadcast(groups), key)
+    salted = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted, [key, "__salt"]).drop("__salt")
+
+
+def _blend(rows: DataFrame, own: str, base: str, prior: float, out: str) -> DataFrame:
+    """Adds struct ``out``: the moments ``own`` drawn towards ``base`` as if ``base`` had ``prior`` rows, the distance of the two centers included."""
+    n = F.coalesce(F.col(f"{own}.n"), F.lit(0)).cast("double")
+    w = n / (n + F.lit(float(prior)))
+    mine = lambda c: F.coalesce(F.col(f"{own}.{c}"), F.col(f"{base}.{c}"))
+    x = FEATURES
+    means = [(w * mine(f"m_{a}") + (1 - w) * F.col(f"{base}.m_{a}")).alias(f"m_{a}") for a in x]
+    away = {a: mine(f"m_{a}") - F.col(f"{base}.m_{a}") for a in x}
+    cross = [
+        (w * mine(f"c_{a}_{b}") + (1 - w) * F.col(f"{base}.c_{a}_{b}") + w * (1 - w) * away[a] * away[b]).alias(f"c_{a}_{b}")
+        for i, a in enumerate(x) for b in x[: i + 1]
+    ]
+    return rows.withColumn(out, F.struct(*means, *cross))
+
+
+def fit(stats: DataFrame, share: float = 0.75, steps: int = 3, prior: float = 200.0) -> DataFrame:
+    """Location and Cholesky factor of each group ``g`` of (language, source).
 
     Concentration steps: keep the ``share`` of rows nearest by the current distance, take
     their mean and covariance, repeat; then one re-weighting step over the rows inside the
-    97.5 % ellipsoid. ``stats`` has the features, ``lang`` and ``source``; every level is a
-    value of ``g``. Rows that failed the base rules take no part.
+    97.5 % ellipsoid. This is done per (language, source), per language and for all
+    documents; then each language's moments are drawn towards those of all, and each source's
+    towards those of its language, by ``prior`` rows' worth, so an estimate changes smoothly
+    with the size of its group. ``stats`` has the features, ``lang`` and ``source``. Rows that
+    failed the base rules take no part.
     """
     d = len(FEATURES)
     levels = F.array(group_key("lang", "source"), group_key("lang"), group_key())
     rows = stats.filter(~base_failed()).select(*FEATURES, F.explode(levels).alias("g"))
-    big = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= min_rows) | (F.col("g") == "*"))
     raw = share / _chi2_cdf(chi2_quantile(share, d), d + 2)
     inner = chi2_quantile(0.975, d)
     settled = 0.975 / _chi2_cdf(inner, d + 2)
     params = stored(_cholesky(_start(rows), 1.0))
     for _ in range(steps):
-        near = rows.join(params, "g").withColumn("d2", _distance())
+        near = _with_group(rows, params, "g").withColumn("d2", _distance())
         cut = stored(_cut(near.select("g", "d2"), share))
-        params = stored(_cholesky(_moments(near.join(cut, "g"), F.col("d2") <= F.col("cut")), raw))
-    near = rows.join(params, "g").withColumn("d2", _distance())
-    params = _cholesky(_moments(near, F.col("d2") <= F.lit(inner)), settled)
-    return stored(params.join(big.select("g"), "g", "left_semi"))
+        params = stored(_cholesky(_moments(_with_group(near, cut, "g"), F.col("d2") <= F.col("cut")), raw))
+    near = _with_group(rows, params, "g").withColumn("d2", _distance())
+    moments = stored(_moments(near, F.col("d2") <= F.lit(inner)))
+    held = moments.select("g", F.struct("n", *[c for c in moments.columns if c[:2] in ("m_", "c_")]).alias("p"))
+    groups = stats.select("lang", "source").distinct().select(group_key("lang", "source").alias("g"), group_key("lang").alias("g1"), group_key().alias("g2"))
+    groups = stored(groups)
+    for level, name in (("g", "own"), ("g1", "lang"), ("g2", "all")):
+        groups = groups.join(held.toDF(level, name), level, "left")
+    drawn = _blend(_blend(groups, "lang", "all", prior, "base"), "own", "base", prior, "p").select("g", "p.*")
+    return stored(_cholesky(drawn, settled))
 
 
 def group_key(*columns: str) -> Column:
@@ -225,17 +266,12 @@ def group_key(*columns: str) -> Column:
 def with_verdict(stats: DataFrame, params: DataFrame, cutoff: float) -> DataFrame:
     """``stats`` with ``base_failed``, ``distance`` and ``kept``.
 
-    Each group takes the finest level that has an estimate, and each row the estimate of its
-    group. The table of groups is written, so that Spark knows its size and broadcasts it
-    only below its own threshold.
+    Each row is judged by the estimate of its group; where no document passed the base rules there is none.
     """
     names = [c for c in params.columns if c != "g"]
-    groups = stats.select("lang", "source").distinct()
-    groups = groups.select(group_key("lang", "source").alias("g0"), F.array(group_key("lang", "source"), group_key("lang"), group_key()).alias("gs"))
-    levels = groups.select("g0", F.posexplode("gs").alias("level", "g")).join(params, "g")
-    best = stored(levels.groupBy("g0").agg(F.min_by(F.struct(*names), "level").alias("__p")))
     out = stats.withColumns({"base_failed": base_failed(), "__g": group_key("lang", "source")})
-    out = out.join(best, F.col("__g") == F.col("g0"), "left").select(*stats.columns, "base_failed", *[F.col(f"__p.{c}").alias(c) for c in names])
+    groups = params.select(F.col("g").alias("__g"), F.struct(*names).alias("__p"))
+    out = _with_group(out, groups, "__g").select(*stats.columns, "base_failed", *[F.col(f"__p.{c}").alias(c) for c in names])
     out = out.withColumn("distance", F.sqrt(_distance()))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= F.lit(cutoff), F.lit(True))
     return out.withColumn("kept", kept).drop(*names)

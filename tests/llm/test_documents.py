@@ -74,7 +74,7 @@ def test_quality_statistics_and_base_rules(docs):
 def test_quality_rejects_outliers_and_keeps_regular_texts(spark):
     good = [(i, prose(i, 100 + i % 50), "en", "s" if i % 3 else "hot") for i in range(400)]
     bad = [(1000 + i, " ".join(w + "#$%" for w in prose(i, 80).split(" ")), "en", "hot") for i in range(20)]
-    out = quality_mcd.judge(spark.createDataFrame(good + bad, "doc_id long, text string, lang string, source string"), min_rows=50).collect()
+    out = quality_mcd.judge(spark.createDataFrame(good + bad, "doc_id long, text string, lang string, source string"), prior=50).collect()
     kept = {r.doc_id: r.kept for r in out}
     assert all(kept[i] for i in range(400)) and not any(kept[1000 + i] for i in range(20))
 

@@ -327,3 +327,63 @@ def test_held_out_languages_are_found(spark):
 
 def test_new_queries_have_sql():
     assert {"op11_collocations", "op13_turn_repair"} <= set(SQL)
+
+
+# -- the scatter estimate of the quality rules --------------------------------------------
+
+
+def brute_scatter(x: np.ndarray, share: float, steps: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """(rows, mean, covariance) of one group by the operator's steps, row by row."""
+    from hearken.llm import quality_mcd as Q
+
+    d = x.shape[1]
+    floor = np.diag([Q.FLOORS[f] ** 2 for f in Q.FEATURES])
+    bins = np.floor(x * 2048)
+    low_median = lambda v: np.sort(v, axis=0)[(len(v) + 1) // 2 - 1]
+    med = low_median(bins)
+    mad = low_median(np.abs(bins - med))
+    mean, cov = (med + 0.5) / 2048, np.diag((1.4826 * mad / 2048) ** 2) + floor
+    raw, inner = share / Q._chi2_cdf(Q.chi2_quantile(share, d), d + 2), Q.chi2_quantile(0.975, d)
+    distance = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+    for _ in range(steps):
+        d2 = distance(mean, cov)
+        b = np.floor(np.log2(d2 + 1e-9) * 32)
+        cut = 2.0 ** ((np.sort(b)[int(np.ceil(len(x) * share)) - 1] + 1) / 32)
+        kept = x[d2 <= cut]
+        mean, cov = kept.mean(axis=0), (np.cov(kept.T, bias=True) + floor) * raw
+    kept = x[distance(mean, cov) <= inner]
+    return len(kept), kept.mean(axis=0), np.cov(kept.T, bias=True) + floor
+
+
+def test_scatter_of_sources_languages_and_all(spark):
+    from hearken.llm import quality_mcd as Q
+
+    rng = np.random.default_rng(11)
+    rows = []
+    for lang, source, n, shift in [("en", "a", 400, 0.0), ("en", "b", 60, 1.0), ("de", "a", 150, -1.0), (None, "c", 7, 0.5)]:
+        x = rng.normal(size=(n, 4)) @ rng.normal(size=(4, 4)) + shift
+        x[: n // 10] += 25
+        rows += [(lang, source, *map(float, v)) for v in x]
+    counts = {c: 100 for c in Q.BASE} | {"n_repeat_words": 0}
+    frame = spark.createDataFrame(rows, "lang string, source string, x0 double, x1 double, x2 double, x3 double").selectExpr("*", *[f"cast({v} as long) as {c}" for c, v in counts.items()])
+    got = {r["g"]: r for r in Q.fit(frame, prior=200.0).collect()}
+    x = np.array([r[2:] for r in rows])
+    keys = [r[:2] for r in rows]
+
+    def blend(own, base):
+        n, m, c = own
+        w = n / (n + 200.0)
+        away = m - base[1]
+        return n, w * m + (1 - w) * base[1], w * c + (1 - w) * base[2] + w * (1 - w) * np.outer(away, away)
+
+    every = brute_scatter(x, 0.75, 3)
+    settled = 0.975 / Q._chi2_cdf(Q.chi2_quantile(0.975, 4), 6)
+    name = lambda *v: "/".join([*("-" if k is None else f"={k}" for k in v), str(len(v))])
+    for lang, source in sorted(set(keys), key=str):
+        of = lambda test: x[[test(k) for k in keys]]
+        base = blend(brute_scatter(of(lambda k: k[0] == lang), 0.75, 3), every)
+        _, mean, cov = blend(brute_scatter(of(lambda k: k == (lang, source)), 0.75, 3), base)
+        r = got[name(lang, source)]
+        lower = np.array([[r[f"l_{a}_{b}"] if j <= i else 0.0 for j, b in enumerate(Q.FEATURES)] for i, a in enumerate(Q.FEATURES)])
+        assert np.allclose([r[f"m_{a}"] for a in Q.FEATURES], mean, atol=1e-9)
+        assert np.allclose(lower @ lower.T, cov * settled, rtol=1e-8, atol=1e-9)
