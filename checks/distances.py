@@ -142,9 +142,3 @@ def d17p(spark, sf):
         & (F.abs(F.col("frechet_distance") - (F.col("mean_term") + F.col("trace_left") + F.col("trace_right") - 2 * F.col("root_trace"))) < 1e-9)
     )
     return tidy(f.withColumn("root_is_consistent", ok).drop("frechet_distance", "root_trace"))
-
-
-@check("d17_frechet")
-def d17(spark, sf):
-    """Rows-only here; the total is compared with a direct matrix root in the tests."""
-    return tidy(V.frechet(halves(spark, sf), 0, 1, set_col="label"))

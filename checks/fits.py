@@ -160,11 +160,6 @@ def j19r(spark, sf):
     return tidy(out.select("scope", "n", (F.col("rmse") < 1.01 * F.col("__sd")).alias("near_or_below_spread"), "normal_equations_hold"))
 
 
-@check("j19_fusion_elasticnet")
-def j19e(spark, sf):
-    return tidy(fusion.fit_fusion(fusion_rows(spark, sf), "mos", "elasticnet", FUSION, cv_splits=1)["weights"], 4)
-
-
 @check("j20_original_weights", "SELECT count(*) AS n, CAST(1 AS BIGINT) AS same_score FROM lineitem")
 def j20(spark, sf):
     """Weights in original units give the score of the scaled model."""
@@ -190,8 +185,3 @@ def j21(spark, sf):
         F.count_if(F.col("k") == "u").alias("n_unlabeled"), F.count_if(F.col("k") == "t").alias("n_train"), F.count_if(F.col("k") == "v").alias("n_validation"))
     opt = L.kkt_residuals(res["fits"]).select("subdir", (F.col("gradient_size") <= 1e-8).alias("optimal"))
     return tidy(keyed_join(counts, opt, ["subdir"]))
-
-
-@check("j21_summary")
-def j21s(spark, sf):
-    return tidy(evaluate_single_split(A.x_metrics(spark, sf), A.subdir_labels(spark, sf), SPLIT_F, alpha=0.0, seed=11)["summary"])

@@ -49,6 +49,12 @@ def total(cols: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, cols)
 
 
+def seconds(samples: Column, rate: Column | float) -> Column:
+    """Duration of a number of samples; NULL without a positive rate."""
+    rate = rate if isinstance(rate, Column) else lit_d(rate)
+    return F.when(rate > 0, samples.cast("double") / rate)
+
+
 def n_effective(n_windows: Column) -> Column:
     """Independent windows in ``n_windows`` overlapping ones (5 s long, 1 s apart)."""
     return F.greatest(lit_d(1.0), (n_windows.cast("double") + 4.0) / 5.0)

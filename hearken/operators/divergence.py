@@ -45,7 +45,7 @@ def divergence(tokens: DataFrame, keys: Sequence[str] = ("pair_key", "step")) ->
     A token missing on one side has probability zero. Infinite terms count as zero,
     so disjoint support lowers the KL value.
     """
-    both = _sides(tokens, keys)
+    both = _sides(require_same_kind(tokens), keys)
     lp, lq = F.col("lp"), F.col("lq")
     lm = log_add(lp, lq) - F.ln(F.lit(2.0))
 
@@ -77,7 +77,7 @@ def divergence_topk(tokens: DataFrame, keys: Sequence[str] = ("pair_key", "step"
     Everything is a sum over union tokens, so normalisation and divergence need two
     aggregates on the same keys and no row for the extra outcome.
     """
-    both = _sides(tokens, keys)
+    both = _sides(require_same_kind(tokens), keys)
     p = F.coalesce(F.exp("lp"), F.lit(0.0))
     q = F.coalesce(F.exp("lq"), F.lit(0.0))
     floored = both.withColumns({"__p": F.greatest(p, F.lit(FLOOR)), "__q": F.greatest(q, F.lit(FLOOR)), "__rp": p, "__rq": q})
@@ -104,7 +104,9 @@ def divergence_topk(tokens: DataFrame, keys: Sequence[str] = ("pair_key", "step"
 
 
 def require_same_kind(tokens: DataFrame) -> DataFrame:
-    """Raise when a pair mixes full and top-k records (column ``kind``)."""
+    """Raise when a pair mixes full and top-k records; tables without the column ``kind`` hold one kind."""
+    if "kind" not in tokens.columns:
+        return tokens
     mixed = tokens.groupBy("pair_key").agg(F.min("kind").alias("a"), F.max("kind").alias("b")).filter("a <> b")
     found = mixed.orderBy("pair_key").limit(1).collect()
     if found:

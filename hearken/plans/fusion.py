@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hearken.functions.directions import apply_directions, feature_columns, metric_directions
 from hearken.functions.solvers import solve_elastic
@@ -57,51 +58,78 @@ def loo_errors(rows: DataFrame, grams: DataFrame, features: Sequence[str], targe
     return cells.mapInPandas(partial, schema).groupBy(*keys, "alpha").agg((F.sum("sq") / F.sum("m")).alias("loo_mse"))
 
 
+def _elastic_path(folds: np.ndarray, ratios: Sequence[float], alphas: Sequence[float]) -> tuple[float, float, list[float], float, list[float]]:
+    """(ratio, strength, coefficients, intercept, inner errors) from the uncentred sums of each inner fold.
+
+    Training sums are totals minus a fold, and a held-out error is a quadratic form in the fold's sums.
+    """
+    k = folds.shape[1] - 2
+    whole = folds.sum(axis=0)
+    grid = [(x, a) for x in ratios for a in alphas]
+    l1, l2 = np.array([x * a for x, a in grid]), np.array([(1 - x) * a for x, a in grid])
+
+    def fit(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, sx, sy = s[0, 0], s[0, 1 : k + 1], s[0, k + 1]
+        g = (s[1 : k + 1, 1 : k + 1] - np.outer(sx, sx) / n) / n
+        c = (s[1 : k + 1, k + 1] - sx * sy / n) / n
+        b = solve_elastic(np.repeat(g[None], len(grid), 0), np.repeat(c[None], len(grid), 0), l1, l2)
+        return b, (sy - b @ sx) / n
+
+    error = np.zeros(len(grid))
+    for held in folds if len(folds) > 1 else []:
+        b, b0 = fit(whole - held)
+        w = np.column_stack([-b0, -b, np.ones(len(grid))])
+        error += np.einsum("ni,ij,nj->n", w, held, w) / held[0, 0]
+    best = int(np.argmin(error))
+    b, b0 = fit(whole)
+    return grid[best][0], grid[best][1], b[best].tolist(), float(b0[best]), error.tolist()
+
+
+ENET_FIT = T.StructType([
+    T.StructField("l1_ratio", T.DoubleType()), T.StructField("alpha", T.DoubleType()), T.StructField("coef", T.ArrayType(T.DoubleType())),
+    T.StructField("intercept", T.DoubleType()), T.StructField("inner_errors", T.ArrayType(T.DoubleType())),
+])
+
+
 def elastic_net(rows: DataFrame, grams: DataFrame, features: Sequence[str], target: str, keys: Sequence[str], inner: str, ratios=ENET_RATIOS, alphas=ENET_ALPHAS) -> DataFrame:
     """Elastic net per key with ratio and strength by inner folds (column ``inner``).
 
-    Uncentred sums per (key, inner fold) are all that leaves the rows: training sums are
-    totals minus a fold, and a held-out error is a quadratic form in the fold's sums.
+    Uncentred sums per (key, inner fold) are all that leaves the rows; each key's grid is
+    solved where its few sums meet, on the executors.
     """
-    k = len(features)
+    m = len(features) + 2
     scaler = grams.select(*keys, "median", "mean", "scale")
     z = [F.lit(1.0), *[(F.coalesce(F.col(c).cast("double"), F.col("median")[i]) - F.col("mean")[i]) / F.col("scale")[i] for i, c in enumerate(features)], F.col(target).cast("double")]
     rows = keyed_join(rows, scaler, keys, small=True).withColumns({f"z{i}": c for i, c in enumerate(z)})
-    m = k + 2
-    sums = rows.groupBy(*keys, F.col(inner).alias("inner")).agg(*[F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"s{i}_{j}") for i in range(m) for j in range(i, m)]).toPandas()
-    out = []
-    for key, part in sums.groupby(list(keys)) if keys else [((), sums)]:
-        mats = []
-        for r in part.to_dict("records"):
-            a = np.zeros((m, m))
-            for i in range(m):
-                for j in range(i, m):
-                    a[i, j] = a[j, i] = r[f"s{i}_{j}"]
-            mats.append(a)
-        whole = sum(mats)
-        grid = [(x, a) for x in ratios for a in alphas]
-
-        def fit(s):
-            n, sx, sy = s[0, 0], s[0, 1 : k + 1], s[0, k + 1]
-            g = (s[1 : k + 1, 1 : k + 1] - np.outer(sx, sx) / n) / n
-            c = (s[1 : k + 1, k + 1] - sx * sy / n) / n
-            l1 = np.array([x * a for x, a in grid])
-            l2 = np.array([(1 - x) * a for x, a in grid])
-            b = solve_elastic(np.repeat(g[None], len(grid), 0), np.repeat(c[None], len(grid), 0), l1, l2)
-            return b, (sy - b @ sx) / n
-
-        error = np.zeros(len(grid))
-        for held in mats if len(mats) > 1 else []:
-            b, b0 = fit(whole - held)
-            w = np.column_stack([-b0, -b, np.ones(len(grid))])
-            error += np.einsum("ni,ij,nj->n", w, held, w) / held[0, 0]
-        best = int(np.argmin(error))
-        b, b0 = fit(whole)
-        out.append([*(key if isinstance(key, tuple) else (key,)), grid[best][0], grid[best][1], b[best].tolist(), float(b0[best])])
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = "".join(f"{c} {kinds[c]}, " for c in keys) + "l1_ratio double, alpha double, coef array<double>, intercept double"
-    fits = rows.sparkSession.createDataFrame([tuple(v.item() if hasattr(v, "item") else v for v in r) for r in out], schema)
-    return keyed_join(grams.drop("gram", "rhs"), fits, keys)
+    cells = F.array(*[F.sum(F.col(f"z{min(i, j)}") * F.col(f"z{max(i, j)}")) for i in range(m) for j in range(m)])
+    sums = rows.groupBy(*keys, F.col(inner).alias("inner")).agg(cells.alias("s"))
+
+    @F.pandas_udf(ENET_FIT)
+    def solve(folds: pd.Series) -> pd.DataFrame:
+        fits = [_elastic_path(np.array([np.asarray(f, dtype=float) for f in fold]).reshape(len(fold), m, m), ratios, alphas) for fold in folds]
+        return pd.DataFrame(fits, columns=ENET_FIT.fieldNames())
+
+    held = F.transform(F.array_sort(F.collect_list(F.struct("inner", "s"))), lambda f: f["s"])
+    fits = sums.groupBy(*keys).agg(held.alias("folds")).filter(F.size("folds") > 0).select(*keys, solve("folds").alias("fit"))
+    return keyed_join(grams, fits.select(*keys, "fit.*"), keys)
+
+
+def elastic_optimality(fits: DataFrame) -> DataFrame:
+    """How far each elastic-net fit is from optimality, from its own Gram system: ``violation`` relative to the right-hand side.
+
+    With slope s = c - G b - l2 b (all per row), s = l1 sign(b) where b is not zero and |s| <= l1 elsewhere.
+    """
+    k, n = F.size("rhs"), F.col("n").cast("double")
+    l1, l2 = F.col("l1_ratio") * F.col("alpha"), (1 - F.col("l1_ratio")) * F.col("alpha")
+
+    def off(i):
+        b = F.element_at("coef", i + 1)
+        dot = F.aggregate(F.zip_with(F.slice("gram", i * k + 1, k), "coef", lambda a, c: a * c), F.lit(0.0), lambda s, v: s + v)
+        slope = F.element_at("rhs", i + 1) / n - dot / n - l2 * b
+        return F.when(b != 0, F.abs(slope - l1 * F.signum(b))).otherwise(F.greatest(F.abs(slope) - l1, F.lit(0.0)))
+
+    size = 1.0 + F.array_max(F.transform("rhs", lambda v: F.abs(v))) / n
+    return fits.withColumn("violation", F.array_max(F.transform(F.sequence(F.lit(0), k - 1), off)) / size)
 
 
 def fit_models(rows: DataFrame, features: Sequence[str], target: str, model: str, keys: Sequence[str] = (), ident: str = "__row", limit=None) -> DataFrame:

@@ -213,3 +213,45 @@ def test_ridge_and_fusion_against_numpy(spark):
     assert "predicted_score_cv" not in few["predictions"].columns
     enet = fusion.fit_fusion(df, "mos", "elasticnet", ["a", "kl", "c"], cv_splits=1)
     assert enet["summary"].first()["rmse"] < 1.5
+
+
+def test_a_bundle_is_seen_whole_or_not_at_all(spark, tmp_path):
+    out = str(tmp_path / "bundle")
+    one = spark.range(3).toDF("a")
+    W.publish({"t": one, "u": one.filter("a < 0")}, {"d.json": {"k": "é"}}, out)
+
+    def fails(folder):
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        W.publish({"t": spark.range(9).toDF("a")}, {}, out, also=fails)
+    tables, documents = W.read_published(spark, out)
+    assert tables["t"].count() == 3 and tables["u"].columns == ["a"] and documents == {"d.json": {"k": "é"}}
+    W.publish({"t": spark.range(9).toDF("a")}, {}, out, "csv")
+    tables, documents = W.read_published(spark, out)
+    assert set(tables) == {"t"} and tables["t"].count() == 9 and documents == {}
+    with pytest.raises(ValueError, match="at least one"):
+        W.publish({}, {}, out)
+
+
+def test_pairs_of_mixed_kinds_are_refused(spark):
+    from hearken.operators import divergence as D
+
+    rows = [(1, 0, s, t, -1.0, k) for s, k in (("p", "full"), ("q", "topk")) for t in range(3)]
+    frame = spark.createDataFrame(rows, "pair_key int, step int, side string, token_id int, logprob double, kind string")
+    for how in (D.divergence, D.divergence_topk):
+        with pytest.raises(ValueError, match="pair 1"):
+            how(frame)
+        assert how(frame.drop("kind")).count() == 1
+
+
+def test_elastic_net_paths_meet_their_conditions(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 3))
+    y = x @ [2.0, 0.0, -1.0] + rng.normal(size=300)
+    frame = spark.createDataFrame([(f"r{i}", *map(float, v), float(t)) for i, (v, t) in enumerate(zip(x, y))], "key string, a double, b double, c double, mos double")
+    res = fusion.fit_fusion(frame, "mos", "elasticnet", ["a", "b", "c"])
+    row = fusion.elastic_optimality(res["model"]).first()
+    assert row["violation"] < 1e-8 and len(row["inner_errors"]) == 100
+    assert row["coef"][0] > 1.5 and row["coef"][2] < -0.5 and abs(row["coef"][1]) < 0.3
+    assert res["summary"].count() == 2
