@@ -16,7 +16,7 @@ from hearken.operators.skew import keyed_join
 from hearken.plans import bootstrap as B
 from hearken.plans import domains as D
 from hearken.plans import lattice as G
-from hearken.plans import scoring, training, windowed
+from hearken.plans import scoring, softrank, training, windowed
 from hearken.sources.tables import read_auxiliary
 
 NAT_D = f"{A.NAT_XM}, {A.NAT_OV}, {A.NAT_SUB}, d AS (SELECT DISTINCT sub.subdir, sub.name FROM sub JOIN xm ON xm.name = sub.name AND xm.subdir = sub.subdir), c AS (SELECT subdir, count(*) AS n FROM d GROUP BY 1)"
@@ -95,11 +95,25 @@ def j12(spark, sf):
     return tidy(out)
 
 
-@check("j9_j11_overall_nested")
+@check("j9_j11_overall_nested", f"""WITH {NAT_D}, l AS (SELECT name, count(*) AS n_subdirs FROM d GROUP BY 1)
+    SELECT ov.name, n_subdirs, CAST(1 AS BIGINT) AS n_predictions, CAST(1 AS BIGINT) AS features_are_out_of_fold, CAST(1 AS BIGINT) AS prediction_is_of_the_fit, CAST(1 AS BIGINT) AS all_fits_optimal FROM ov JOIN l USING (name)""")
 def j9(spark, sf):
-    """Out-of-fold overall predictions of nested training (no closed form; see the tests)."""
+    """Evidence for the out-of-fold overall predictions: their subdir features are the subdir models' out-of-fold
+    predictions, each is what the selected fit without its device gives, and every fit of the search is optimal."""
     res = training.train(A.nation_x(spark, sf), A.nation_subdir(spark, sf), A.nation_overall(spark, sf), overall_alphas=(1.0,), lambdas=(0.25, 1.0), **SMALL)
-    return tidy(res["tables"]["overall_oof_predictions"], 3)
+    t, subdirs = res["tables"], res["model"].subdirs
+    columns = scoring.quality_columns(subdirs)
+    own = t["subdir_oof_predictions"].groupBy("name").agg(F.count(F.lit(1)).alias("n_subdirs"), *[F.max(F.when(F.col("subdir") == s, F.col("predicted_percentile"))).alias(f"__{s}") for s in subdirs])
+    both = keyed_join(keyed_join(t["overall_stage2_oof"], own, ["name"]), t["overall_oof_predictions"], ["name"])
+    same = F.lit(True)
+    for s, c in zip(subdirs, columns):
+        same = same & (F.col(f"__{s}").isNull() | (F.abs(F.col(f"__{s}") - F.col(f"`{c}`")) < 1e-9))
+    fits = res["overall_fits"].filter("ifold = -1").select("ofold", F.col("alpha").alias("selected_alpha"), F.col("rank_lambda").alias("selected_rank_lambda"), "median", "mean", "scale", "beta")
+    scored = keyed_join(both.withColumn("__same", same), fits, ["ofold", "selected_alpha", "selected_rank_lambda"]).withColumn("__p", softrank.predict_expr(columns))
+    rows = scored.groupBy("name").agg(
+        F.max("n_subdirs").alias("n_subdirs"), F.count("overall_prediction").alias("n_predictions"), F.bool_and("__same").alias("features_are_out_of_fold"),
+        F.bool_and(F.abs(F.col("__p") - F.col("overall_prediction")) < 1e-9).alias("prediction_is_of_the_fit"))
+    return tidy(keyed_join(rows, res["overall_fits"].agg((F.max("optimality") <= 1e-6).alias("all_fits_optimal")), [], small=True))
 
 
 # --- prediction from a given model ----------------------------------------------
