@@ -93,3 +93,34 @@ def test_session_as_stream_and_replacement(spark, tmp_path):
     assert session.snapshot().count() == 1
     session.replace_auxiliary(aux, 6)
     assert session.snapshot().count() == 0 and session.current_domain() is None
+
+
+def test_ranks_after_each_batch_equal_a_batch_twin_and_writes_are_linear(spark, tmp_path):
+    import os
+
+    from hearken.plans.domains import rank_domain
+
+    aux = spark.createDataFrame([(f"p{i}", "pc") for i in range(40)] + [("t1", "tablet")], "name string, domain string")
+    refs = spark.createDataFrame([("ref1", 3.0), ("ref2", 11.5)], "name string, rank_utility double")
+
+    def scorer(rows):
+        return rows.groupBy("name").agg(F.avg("value").alias("rank_utility"))
+
+    session = DomainSession(spark, str(tmp_path / "state"), aux, scorer)
+    batches = [[(f"p{i}", float(i * 7 % 13) + d) for i in range(a, a + 8) for d in (0.0, 1.0)] for a in (0, 8, 4, 16)] + [[("t1", 5.0), ("p1", 1.0)], [("t1", 5.0)]]
+    seen: dict = {}
+    for k, rows in enumerate(batches):
+        session.process(spark.createDataFrame(rows, "name string, value double"), k)
+        if k == 5:
+            seen = {"t1": 5.0}
+        elif k < 4:  # batch 4 is mixed
+            fresh = {n: v for n, v in rows if n not in seen}
+            seen |= {n: sum(v for m, v in rows if m == n) / 2 for n in fresh}
+        domain = "tablet" if k == 5 else "pc"
+        twin = rank_domain(spark.createDataFrame([(n, domain, v) for n, v in seen.items()], "name string, domain string, rank_utility double"), refs).filter("not is_reference")
+        columns = ["name", "rank_utility", "estimated_rank_1_is_best", "rank_percentile", "expected_pairwise_win_percent"]
+        got, want = (sorted(tuple(r) for r in d.select(*columns).collect()) for d in (session.ranking(refs), twin))
+        assert [g[0] for g in got] == [w[0] for w in want] and all(g[1:] == pytest.approx(w[1:], abs=1e-9) for g, w in zip(got, want))
+    assert session.ranking(refs, 2).count() == 16
+    written = {i: spark.read.parquet(str(tmp_path / "state" / "changes" / f"batch={i}")).count() for i in (0, 1, 2, 3, 5)}
+    assert written == {0: 8, 1: 8, 2: 8, 3: 8, 5: 1} and not os.path.exists(tmp_path / "state" / "changes" / "batch=4")
