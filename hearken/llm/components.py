@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearken.llm.common import stored
+from hearken.llm.common import join_hot, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -13,19 +13,20 @@ def _state(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
     """One star step: ties the neighbours of every node (the larger ones, or the smaller ones and itself) to the least of them.
 
-    The minimum is combined map-side and joined back, so no node's neighbours are ever gathered.
+    The minimum is combined map-side and joined back, and nodes with very many neighbours are
+    joined where those lie (``join_hot``), so no node's neighbours are ever gathered.
     """
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        ties = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))
+        ties = join_hot(both.filter("v > u"), least, "u", total).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        ties = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
+        least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        ties = join_hot(down, least, "u", total).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             least.select("u", F.col("m").alias("v"))
         )
     return ties.filter("u <> v").distinct()
@@ -40,7 +41,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = stored(links.select("u", "v").filter("u <> v").distinct())
     before = _state(edges)
     while before[0]:
-        edges = stored(_star(_star(edges, True), False))
+        edges = stored(_star(stored(_star(edges, True, before[0])), False, before[0]))
         after = _state(edges)
         if after == before:
             break

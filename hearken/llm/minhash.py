@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearken.llm.common import row_key, stored
+from hearken.llm.common import join_hot, row_key, stored
 from hearken.llm.components import components
 
 COORDINATES, ROWS = 128, 4
@@ -239,12 +239,13 @@ def _with_component(wanted: DataFrame, roots: DataFrame, sets: DataFrame, percen
     """
     sized = sets.select("cls", "set", F.size("set").alias("n"), _size_class(F.size("set")).alias("c"))
     asked = wanted.groupBy("root").agg(F.count(F.lit(1)).alias("askers"))
-    size = roots.join(asked, "root").groupBy("root", "askers").agg(F.count(F.lit(1)).alias("members"))
-    size = size.select("root", _blocks("members", SETS).alias("nr"), _blocks("askers", SETS).alias("nl"))
-    told = roots.join(size, "root").join(sized, "cls").select(
+    members = roots.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
+    size = stored(asked.join(members, "root").select("root", "members", "askers", _blocks("members", SETS).alias("nr"), _blocks("askers", SETS).alias("nl")))
+    of = lambda n: size.select("root", "nr", "nl", F.col(n).alias("n"))
+    told = join_hot(roots, of("members"), "root", roots.count()).join(sized, "cls").select(
         "root", "c", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("i"), _block("cls", "nr").alias("j"), F.struct("cls", "set").alias("row")
     )
-    ask = wanted.join(size, "root").join(sized.withColumnRenamed("cls", "x"), "x").select(
+    ask = join_hot(wanted, of("askers"), "root", wanted.count()).join(sized.withColumnRenamed("cls", "x"), "x").select(
         "root", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)).alias("c"), _block("x", "nl").alias("i"), "nr", F.struct(F.col("x").alias("cls"), "set").alias("row")
     )
     ask = ask.select("root", "c", "i", F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("j"), "row")
@@ -282,7 +283,9 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
         return roots
     ends = links.join(roots.toDF("u", "ru"), "u").join(roots.toDF("v", "rv"), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
     tied = components(ends).select(F.col("id").alias("root"), F.col("root").alias("to"))
-    return stored(roots.join(tied, "root", "left").select("cls", F.coalesce("to", "root").alias("root")))
+    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    moved = stored(sizes.join(tied, "root", "left").select("root", F.coalesce("to", "root").alias("to"), "n"))
+    return stored(join_hot(roots, moved, "root", roots.count()).select("cls", F.col("to").alias("root")))
 
 
 def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -322,8 +325,9 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         if not open_.isEmpty():
             roots = _merged(roots, stored(_with_component(open_, roots, sets, percent)))
     rooted = classes.select("cls", "rep").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("lead"))
-    by_class = rooted.join(least, "root").select(F.col("cls").alias("c"), "lead")
+    rooted = stored(rooted)
+    least = stored(rooted.groupBy("root").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n")))
+    by_class = join_hot(rooted, least, "root", rooted.count()).select(F.col("cls").alias("c"), "lead")
     out = signed.select("k_id", "k_fp", "doc_id", "n_shingles", "cls").join(by_class, F.col("cls") == F.col("c"), "left")
     own_id = F.when(F.col("lead").isNull(), F.col("doc_id")).when(~F.col("lead.none"), F.col("lead.k_id"))
     alone = F.col("lead").isNull()
