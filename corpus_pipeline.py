@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from hearken.llm import decontaminate, minhash, packing, pii, quality_mcd
-from hearken.llm.common import stored, table
+from hearken.llm.common import stored_alone, table
 from hearken.llm.settings import BYTE_BPE, PSEUDONYM_KEY
 
 
@@ -46,7 +46,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+    """All stages; a stage's table is deleted once the next one's is written, so one copy of the corpus is held at a time."""
+    docs, folder = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        docs, folder = stored_alone(spark, lambda: stage(spark, docs, sf_dir), folder)
     return STAGES[-1][1](spark, docs, sf_dir)
