@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -17,6 +18,7 @@ from tokenizers import Tokenizer
 from hearken.llm import decontaminate, minhash, packing, pii, quality_mcd, token_counts, toxicity
 
 import corpus_pipeline
+from hearken.llm.common import shared_folder
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k_id string, row string, kept string, n_words int, bucket double, g string"
@@ -380,5 +382,10 @@ def test_pipeline_stages(spark, docs, none, tmp_path):
     assert counts[0] == len(good)
     groups = {c if c is not None else f"none {t}" for (i, _, c), (_, t) in zip(brute_components(good, 5), good)}
     assert counts[1] == len(groups) and counts[2] == counts[1] - 1 and counts[3] == counts[2]
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert packed.filter("piece = 0").count() == counts[3]
+    # the last stage's documents, and what packing stores: the other stages' tables are gone
+    stored = [spark.read.parquet(f"{folder}/{f}").columns for f in set(os.listdir(folder)) - before]
+    assert sum(c == docs.columns for c in stored) == 1 and all("sequence_id" in c or "piece" in c or c == docs.columns for c in stored)
