@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders written by ``materialise`` in each open ``temporary_tables`` scope.
+_scopes: list[list[str]] = []
+
 
 def local_session(app: str = "hearken", cores: str = "*", partitions: int = 8) -> SparkSession:
     """A session for tests and the bench; clusters bring their own."""
@@ -42,4 +47,21 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """Delete the tables that ``materialise`` writes inside, at the end.
+
+    For whole jobs: frames that were made inside and not written elsewhere are gone then.
+    """
+    _scopes.append([])
+    try:
+        yield _scopes[-1]
+    finally:
+        for path in _scopes.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

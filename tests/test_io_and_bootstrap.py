@@ -255,3 +255,16 @@ def test_elastic_net_paths_meet_their_conditions(spark):
     assert row["violation"] < 1e-8 and len(row["inner_errors"]) == 100
     assert row["coef"][0] > 1.5 and row["coef"][2] < -0.5 and abs(row["coef"][1]) < 0.3
     assert res["summary"].count() == 2
+
+
+def test_temporary_tables_go_at_the_end_of_their_scope(spark):
+    import os
+
+    from hearken.session import materialise, temporary_tables
+
+    kept = materialise(spark.range(3))
+    with temporary_tables(spark) as made:
+        assert materialise(spark.range(5)).count() == 5
+        path = made[0].removeprefix("file:")
+        assert os.path.isdir(path)
+    assert not os.path.exists(path) and kept.count() == 3
