@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks import adapters as A
 from checks.registry import check, r, tidy
 from checks.rollups import AGG_SQL, rated_fit
-from hearken.config import PRIMARY, STABILITY
+from hearken.config import PRIMARY, RECOMMENDED_FEATURES, STABILITY
 from hearken.operators import linear as L
 from hearken.operators.aggregate import aggregate_x
 from hearken.operators.evaluation import percentile_target
@@ -115,13 +115,14 @@ def device_features(spark, sf):
     return materialise(keyed_join(f, A.nation_subdir(spark, sf), ["name", "subdir"]))
 
 
-RIDGE_F = ["kl_pooled_audio_mean_device_mean", "js_pooled_audio_mean_device_mean", "l2_audio_median_device_mean", "cos_sim_audio_median_device_mean"]
+#: The window-level job's own list.
+RIDGE_F = list(RECOMMENDED_FEATURES)
 
 
 @check("j15_hierarchical_ridge", f"WITH {A.NAT_XM}, {A.NAT_OV}, {A.NAT_SUB}, d AS (SELECT DISTINCT sub.subdir, sub.name FROM sub JOIN xm ON xm.name = sub.name AND xm.subdir = sub.subdir), a AS (SELECT unnest([0.1, 1.0, 10.0]) AS alpha) "
-       "SELECT CAST(alpha AS DOUBLE) AS alpha, count(*) AS n, CAST(8 AS BIGINT) AS n_columns, CAST(1 AS BIGINT) AS normal_equations_hold FROM d, a GROUP BY 1")
+       f"SELECT CAST(alpha AS DOUBLE) AS alpha, count(*) AS n, CAST({len(RIDGE_F) + 4} AS BIGINT) AS n_columns, CAST(1 AS BIGINT) AS normal_equations_hold FROM d, a GROUP BY 1")
 def j15(spark, sf):
-    """Four features, two task indicators and two interactions; the normal equations are checked."""
+    """All features of the job, two task indicators and two interactions; the normal equations are checked."""
     fits, _, names = windowed.fit_hierarchical(device_features(spark, sf), "human_score", RIDGE_F, [0.1, 1.0, 10.0], [], ["A", "N", "R"], RIDGE_F[:1])
     k = L.kkt_residuals(fits)
     return tidy(k.select("alpha", "n", F.size("features").alias("n_columns"), (F.col("gradient_size") <= 1e-8).alias("normal_equations_hold")))
