@@ -25,10 +25,11 @@ from pyspark.sql import types as T
 from hearken.config import HOT_GROUP_ROWS, PAIR_BLOCK_ROWS
 from hearken.session import materialise
 
-BINS_PER_OCTAVE = 512
-_BIN_OFFSET = 1100 * BINS_PER_OCTAVE
+#: Fine and coarse value bins per power of two.
+FINE_PER_OCTAVE, COARSE = 1 << 21, 1 << 12
+_BIN_OFFSET = 1100 * FINE_PER_OCTAVE
 #: Above the bin of every finite double.
-_INFINITE_BIN = 2200 * BINS_PER_OCTAVE
+_INFINITE_BIN = 2200 * FINE_PER_OCTAVE
 
 
 def keyed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", small: bool = False, nulls: bool = False) -> DataFrame:
@@ -78,11 +79,10 @@ def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataF
 def value_bin(value: Column) -> Column:
     """Monotone integer bin of a double, fixed by the value alone.
 
-    512 bins per power of two, so a column spreads over many tasks while the
-    number of bins stays under about two million whatever the data. Infinities have
-    the outermost bins, and NaN one above them, as Spark orders it.
+    Two million bins per power of two, so that even values in a narrow band spread over many
+    bins. Infinities have the outermost bins, and NaN one above them, as Spark orders it.
     """
-    finite = F.floor(F.log2(F.abs(value)) * BINS_PER_OCTAVE) + _BIN_OFFSET
+    finite = F.floor(F.log2(F.abs(value)) * FINE_PER_OCTAVE) + _BIN_OFFSET
     exponent = F.when(F.isnan(value), _INFINITE_BIN + 1).when(F.abs(value) == float("inf"), _INFINITE_BIN).otherwise(finite)
     return F.when(value > 0, exponent).when(value < 0, -exponent).otherwise(F.lit(0)).cast("long")
 
@@ -90,9 +90,9 @@ def value_bin(value: Column) -> Column:
 def prefix_counts(df: DataFrame, keys: Sequence[str], value: str, weight: Column | None = None) -> DataFrame:
     """Distinct values with the number of rows below (``n_lt``) and up to (``n_le``) each.
 
-    Values are pre-aggregated map-side, so one repeated value costs one row. The
-    running count is split in two windows: over the bins of a group (bounded by
-    the bin count) and inside one bin.
+    Values are pre-aggregated map-side, so one repeated value costs one row. The running
+    count is split in three windows, each of bounded size: over the coarse bins of a group
+    (512 an octave), over the ``COARSE`` fine bins of a coarse one, and inside one fine bin.
     """
     w = F.lit(1) if weight is None else weight
     distinct = (
@@ -101,14 +101,18 @@ def prefix_counts(df: DataFrame, keys: Sequence[str], value: str, weight: Column
         .agg(F.sum(w).alias("__n"))
         .withColumn("__bin", value_bin(F.col(value)))
     )
-    over_bins = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__bin")
-    carry = (
-        distinct.groupBy(*keys, "__bin")
-        .agg(F.sum("__n").alias("__bn"))
-        .withColumn("__carry", F.sum("__bn").over(over_bins) - F.col("__bn"))
-        .withColumn("__total", F.sum("__bn").over(Window.partitionBy(*(keys or [F.lit(0)]))))
-        .drop("__bn")
+    fine = distinct.groupBy(*keys, "__bin").agg(F.sum("__n").alias("__bn")).withColumn("__coarse", F.floor(F.col("__bin") / F.lit(COARSE)))
+    group = Window.partitionBy(*(keys or [F.lit(0)]))
+    coarse = (
+        fine.groupBy(*keys, "__coarse")
+        .agg(F.sum("__bn").alias("__cn"))
+        .withColumn("__before", F.sum("__cn").over(group.orderBy("__coarse")) - F.col("__cn"))
+        .withColumn("__total", F.sum("__cn").over(group))
+        .drop("__cn")
     )
+    inside = Window.partitionBy(*keys, "__coarse").orderBy("__bin")
+    carry = keyed_join(fine.withColumn("__run", F.sum("__bn").over(inside) - F.col("__bn")), coarse, [*keys, "__coarse"], nulls=True)
+    carry = carry.select(*keys, "__bin", (F.col("__before") + F.col("__run")).alias("__carry"), "__total")
     in_bin = Window.partitionBy(*keys, "__bin").orderBy(value)
     return (
         keyed_join(distinct, carry, [*keys, "__bin"], nulls=True)
