@@ -252,7 +252,9 @@ def fit(stats: DataFrame, share: float = 0.75, steps: int = 3, prior: float = 20
     groups = stored(groups)
     for level, name in (("g", "own"), ("g1", "lang"), ("g2", "all")):
         groups = groups.join(held.toDF(level, name), level, "left")
-    drawn = _blend(_blend(groups, "lang", "all", prior, "base"), "own", "base", prior, "p").select("g", "p.*")
+    # each step is written: the next one names its columns many times
+    based = stored(_blend(groups, "lang", "all", prior, "base").select("g", "own", "base"))
+    drawn = stored(_blend(based, "own", "base", prior, "p").select("g", "p.*"))
     return stored(_cholesky(drawn, settled))
 
 
