@@ -12,7 +12,7 @@
    labels and scores every whole text.
 
 Labels come only from rows whose crc32 of the id as text leaves another remainder than 1 by
-3, at most ``LABELLED`` of them (those of least id hash), which bounds the fit. Language,
+3; of more than ``LABELLED`` those of small id hash, up to a threshold set from their count, which bounds the fit. Language,
 source and id never enter a score.
 
 Edge cases: a null or empty text has no votes and the score of that; several labels of one
@@ -109,7 +109,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> D
     """(text, toxic) of at most ``most`` labelled training documents, one of each set of near copies with equal label."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & is_training(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    some = stored(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
+    known = stored(known)
+    n = known.count()
+    # the part of all hashes that holds ``most`` rows, less four standard deviations of their number
+    part = min(1.0, max(0.0, most - 4 * math.sqrt(most)) / max(n, 1)) if n > most else 1.0
+    some = stored(known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.lit(int(part * (1 << 40)))))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = slim.join(F.broadcast(some), "doc_id")  # at most ``most`` rows of two numbers
     rows = rows.mapInArrow(_copies, "doc_id long, text string, toxic int, copy long")
