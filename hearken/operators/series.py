@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from hearken.operators.skew import keyed_join
 
@@ -119,26 +118,47 @@ def standardise(series: DataFrame, keys: Sequence[str], value: str = "value") ->
     return keyed_join(series, stats, keys).withColumn(value, (F.col(value) - F.col("__m")) / F.col("__s")).drop("__m", "__s")
 
 
-def _correlate(names: list[str], length: int, reach: int, schema: pa.Schema):
-    """Correlations of blocks by FFT: a row per series and lag, summed over the blocks of a batch."""
-    size = 1 << (length + 2 * reach - 1).bit_length()
+#: Numbers that the Fourier products of one step may hold.
+CELLS = 1 << 20
 
-    def spread(cells: pa.Scalar, n: int) -> tuple[np.ndarray, np.ndarray]:
-        at, v = cells.values.field("i").to_numpy(), cells.values.field("v").to_numpy()
-        return np.bincount(at, weights=v, minlength=n), np.bincount(at, minlength=n).astype(float)
+
+def _correlate(names: list[str], reach: int):
+    """Correlations of blocks by FFT: a row per pair of blocks and lag.
+
+    Products are as long as the longest block of their step needs, so short series cost little.
+    A step takes as many pairs of blocks as ``CELLS`` allows, and nothing of it is kept.
+    """
+
+    def spread(cells: pa.Array, width: int) -> np.ndarray:
+        """(2 x blocks x width): values and whether a sample is there."""
+        rows = np.repeat(np.arange(len(cells)), np.diff(cells.offsets.to_numpy()))
+        flat = cells.flatten()
+        at, v = rows * width + flat.field("i").to_numpy(), flat.field("v").to_numpy()
+        n = len(cells) * width
+        return np.stack([np.bincount(at, weights=v, minlength=n), np.bincount(at, minlength=n).astype(float)]).reshape(2, len(cells), width)
+
+    def extent(cells: pa.ListArray) -> int:
+        return 1 + int(cells.flatten().field("i").to_numpy().max())
+
+    def lags_of(left: pa.ListArray, right: pa.ListArray) -> np.ndarray:
+        width = extent(left)
+        size = 1 << (max(extent(right), width + 2 * reach) - 1).bit_length()
+        x, y = np.fft.rfft(spread(left, width), size), np.fft.rfft(spread(right, size), size)
+        return np.fft.irfft(y * np.conj(x), size)[..., : 2 * reach + 1].copy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums: dict[tuple, np.ndarray] = {}
-            for k, (left, right) in enumerate(zip(batch.column("__r"), batch.column("__t"))):
-                x, y = np.array(spread(left, length)), np.array(spread(right, length + 2 * reach))
-                lags = np.fft.irfft(np.fft.rfft(y, size) * np.conj(np.fft.rfft(x, size)), size)[:, : 2 * reach + 1]
-                key = tuple(batch.column(n)[k].as_py() for n in names)
-                sums[key] = sums[key] + lags if key in sums else lags
-            for key, (total, pairs) in sums.items():
-                met = np.flatnonzero(np.rint(pairs) > 0)
-                columns = [pa.array([v] * len(met), schema.field(n).type) for n, v in zip(names, key)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(met - reach, pa.int32()), pa.array(total[met])], names=[*names, "lag", "correlation"])
+            if not batch.num_rows:
+                continue
+            left, right = batch.column("__r"), batch.column("__t")
+            longest = 1 << (max(extent(left) + 2 * reach, extent(right)) - 1).bit_length()
+            step = max(1, CELLS // longest)
+            for first in range(0, batch.num_rows, step):
+                part = batch.slice(first, step)
+                total, pairs = lags_of(part.column("__r"), part.column("__t"))
+                which, met = np.nonzero(np.rint(pairs) > 0)
+                columns = [part.column(n).take(pa.array(which)) for n in names]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(met - reach, pa.int32()), pa.array(total[which, met])], names=[*names, "lag", "correlation"])
 
     return run
 
@@ -166,8 +186,7 @@ def correlations(
     right = cells(t.withColumn("__b", F.explode(F.sequence(part(-max_lag), part(max_lag)))), max_lag, "__t")
     both = keyed_join(left, right, [*keys, "__b"]).select(*keys, "__r", "__t")
     typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.select(*keys).schema)
-    arrow = to_arrow_schema(both.select(*keys).schema)
-    parts = both.mapInArrow(_correlate(list(keys), block, max_lag, arrow), f"{typed}{', ' if keys else ''}lag int, correlation double")
+    parts = both.mapInArrow(_correlate(list(keys), max_lag), f"{typed}{', ' if keys else ''}lag int, correlation double")
     return parts.groupBy(*keys, "lag").agg(F.sum("correlation").alias("correlation"))
 
 

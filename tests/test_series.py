@@ -61,3 +61,22 @@ def test_silence_of_a_long_recording_over_many_chunks(spark):
         got = S.silence_segments(frame, ["rec"], -40.0, 0.5, 2, 1.5, 0.2, chunk=chunk).filter("rec = 'r'").orderBy("segment").collect()
         assert [r.segment for r in got] == list(range(len(want)))
         assert [(r.segment_start, r.segment_end) for r in got] == [pytest.approx(w) for w in want]
+
+
+def test_correlations_keep_nothing_of_a_batch():
+    """Thousands of short series in one batch: no product of full block length is made or kept."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    cells = [[{"i": int(i), "v": float(rng.normal())} for i in range(40)] for _ in range(2_000)]
+    shape = pa.list_(pa.struct([("i", pa.int32()), ("v", pa.float64())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2_000)), pa.array(cells, shape), pa.array(cells, shape)], names=["s", "__r", "__t"])
+    tracemalloc.start()
+    rows = 0
+    for out in S._correlate(["s"], 12)(iter([batch])):
+        rows += out.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 2_000 * 25 and peak < 200e6
