@@ -189,9 +189,13 @@ def d27(spark, sf):
 @check("j14_resample_shape", f"WITH {A.XM}, g AS (SELECT name, subdir, count(*) AS n FROM xm GROUP BY 1, 2) SELECT name, subdir, CAST(500 AS BIGINT) AS replicates, n * 500 AS n_rows, CAST(1 AS BIGINT) AS in_range, CAST(1 AS BIGINT) AS items_known FROM g")
 def j14(spark, sf):
     x = A.x_metrics(spark, sf)
-    b = keyed_join(B.resample(x, 500, 5), x.select("name", "subdir", "x", F.lit(True).alias("__k")), ["name", "subdir", "x"], "left")
     fine = F.col("cosim_mean").between(-0.999999, 0.999999) & (F.col("l2_mean") >= 0) & (F.col("kl_mean") >= 0) & (F.col("js_mean") >= 0)
-    return tidy(b.groupBy("name", "subdir").agg(F.countDistinct("replicate").alias("replicates"), F.count(F.lit(1)).alias("n_rows"), F.bool_and(fine).alias("in_range"), (F.count("__k") == F.count(F.lit(1))).alias("items_known")))
+    # The redrawn rows are summed by item before they are shuffled; their replicates are kept as bits.
+    bits = {f"__b{k}": F.expr(f"bit_or(IF(replicate DIV 64 = {k}, shiftleft(1L, replicate % 64), 0L))") for k in range(-(-500 // 64))}
+    items = B.resample(x, 500, 5).groupBy("name", "subdir", "x").agg(F.count(F.lit(1)).alias("__n"), F.bool_and(fine).alias("__fine"), *[c.alias(n) for n, c in bits.items()])
+    b = keyed_join(items, x.select("name", "subdir", "x", F.lit(True).alias("__k")), ["name", "subdir", "x"], "left")
+    replicates = sum((F.bit_count(F.bit_or(n)) for n in bits), F.lit(0)).cast("long")
+    return tidy(b.groupBy("name", "subdir").agg(replicates.alias("replicates"), F.sum("__n").alias("n_rows"), F.bool_and("__fine").alias("in_range"), F.bool_and(F.col("__k").isNotNull()).alias("items_known")))
 
 
 @check("j14_bootstrap_intervals", f"WITH {PRED} SELECT name, CAST(500 AS BIGINT) AS bootstrap_replicates, CAST(1 AS BIGINT) AS ordered, CAST(1 AS BIGINT) AS has_point, 'A' AS limited_ci_subdirs FROM op")
