@@ -66,18 +66,20 @@ def gram_table(
     default: float = 0.0,
     prescaled: Sequence[str] = (),
     center: bool = True,
+    few: bool = False,
 ) -> DataFrame:
     """One row per fit: scaler, weighted means and the weighted Gram system of the standardised features.
 
     Values are shifted by the median inside the sums, which keeps them well
     conditioned; everything after the median is one pass of sums that combine
     map-side, so only k*k numbers per fit are shuffled. Columns in ``prescaled``
-    (indicators, interactions) are used as they are.
+    (indicators, interactions) are used as they are. ``few`` states that the number of keys
+    is bounded: rows then stay where they are, and no task gathers the rows of a key.
     """
     scaled = [c for c in features if c not in prescaled]
     k = len(features)
     med = _medians(df, scaled, keys, default, limit) if scaled else df.groupBy(*keys).agg(F.lit(0).alias("__none"))
-    rows = keyed_join(df, med, keys)
+    rows = keyed_join(df, med, keys, small=few)
     # Several hundred small expressions: written as SQL text, which plans much faster than building them one call at a time.
     shift = {c: f"coalesce(CAST(`{c}` AS DOUBLE), `{c}__median`) - `{c}__median`" for c in scaled}
     shift |= {c: f"CAST(`{c}` AS DOUBLE)" for c in prescaled}

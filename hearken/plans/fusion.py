@@ -135,7 +135,8 @@ def elastic_optimality(fits: DataFrame) -> DataFrame:
 def fit_models(rows: DataFrame, features: Sequence[str], target: str, model: str, keys: Sequence[str] = (), ident: str = "__row", limit=None) -> DataFrame:
     """One fitted row per key: scaler, coefficients on standardised features, intercept, chosen strength."""
     options = {} if limit is None else {"limit": limit}
-    grams = materialise(gram_table(rows, features, target, None, keys, **options))
+    # Keys are at most the held-out folds of one cross-validation.
+    grams = materialise(gram_table(rows, features, target, None, keys, few=True, **options))
     if model == "nnls":
         return solve_grams(grams, F.lit(0.0))
     if model == "ridge":
