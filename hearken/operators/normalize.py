@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hearken.config import HOT_GROUP_ROWS, METRICS
 from hearken.functions.exprs import n_effective, stabilised_mean, stabilised_var
-from hearken.operators.skew import hot_groups, keyed_join, long_values, pick_quantiles, prefix_counts, split_hot
+from hearken.operators.skew import hot_groups, keyed_join, long_values, split_hot, value_quantiles
 from hearken.session import materialise
 
 # Smallest usable scale and the factors that make MAD and IQR estimate a standard deviation.
@@ -48,7 +48,7 @@ def robust_stats(df: DataFrame, keys: Sequence[str], values: Sequence[str], limi
 
     The absolute deviation needs the median first. Ordinary groups get it from a
     window with the same partitioning as the aggregate, so there is one shuffle;
-    very large groups get it from weighted prefix counts of their distinct values.
+    very large groups read it off the value bins that hold the wanted ranks.
     """
     hot_keys = hot_groups(df, keys, limit)
     if hot_keys is None:
@@ -88,17 +88,13 @@ def _one_shuffle_stats(df: DataFrame, keys: Sequence[str], values: Sequence[str]
 
 
 def _prefix_stats(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-    lk = [*keys, "__c"]
     long = long_values(df, keys, values)
-    counted = materialise(prefix_counts(long, lk, "__v"))
     wanted = {f"{v}__{n}": (v, p) for v in values for n, p in (("center", 0.5), ("q25", 0.25), ("q75", 0.75))}
-    quantiles = pick_quantiles(counted, keys, wanted)
+    quantiles = materialise(value_quantiles(long, keys, wanted))
     centers = F.explode(F.array(*[F.struct(F.lit(v).alias("c"), F.col(f"{v}__center").alias("m")) for v in values]))
     centers = quantiles.select(*keys, centers.alias("__e")).select(*keys, F.col("__e.c").alias("__c"), F.col("__e.m").alias("__m"))
-    deviations = keyed_join(counted, centers, lk, small=True).select(
-        *lk, F.abs(F.col("__v") - F.col("__m")).alias("__v"), (F.col("n_le") - F.col("n_lt")).alias("__k")
-    )
-    mads = pick_quantiles(prefix_counts(deviations, lk, "__v", F.col("__k")), keys, {f"{v}__mad": (v, 0.5) for v in values})
+    deviations = keyed_join(long, centers, [*keys, "__c"], small=True).select(*keys, "__c", F.abs(F.col("__v") - F.col("__m")).alias("__v"))
+    mads = value_quantiles(deviations, keys, {f"{v}__mad": (v, 0.5) for v in values})
     spread = df.groupBy(*keys).agg(*[a for v in values for a in (F.count(v).alias(f"{v}__count"), F.stddev_samp(v).alias(f"{v}__std"))])
     return _finish_stats(keyed_join(keyed_join(spread, quantiles, keys, "left"), mads, keys, "left"), keys, values)
 
@@ -106,16 +102,17 @@ def _prefix_stats(df: DataFrame, keys: Sequence[str], values: Sequence[str]) ->
 def fit_normalization(x: DataFrame, limit: int | None = HOT_GROUP_ROWS) -> DataFrame:
     """Statistics at three levels in wide form: (level, subdir, x, <metric>_t__center/scale/method/count).
 
-    One expansion feeds all levels, so the quantile passes run once, not three times.
-    The table is a fitted model part of bounded size; it is written out because every
-    later step reads it once per level.
+    One expansion feeds all levels, so the quantile passes run once, not three times; the
+    few columns that they read are written first. The table is a fitted model part of bounded
+    size; it is written out because every later step reads it once per level.
     """
     levels = F.array(
         F.struct(F.lit("subdir_x").alias("level"), F.col("subdir").alias("s"), F.col("x").alias("i")),
         F.struct(F.lit("subdir_fallback").alias("level"), F.col("subdir").alias("s"), F.lit("").alias("i")),
         F.struct(F.lit("global_fallback").alias("level"), F.lit("").alias("s"), F.lit("").alias("i")),
     )
-    rows = stabilise(x).select(F.explode(levels).alias("__l"), *T_COLS).select(
+    narrow = materialise(stabilise(x).select("subdir", "x", *T_COLS))
+    rows = narrow.select(F.explode(levels).alias("__l"), *T_COLS).select(
         "__l.level", F.col("__l.s").alias("subdir"), F.col("__l.i").alias("x"), *T_COLS
     )
     return materialise(robust_stats(rows, ["level", "subdir", "x"], T_COLS, limit))
