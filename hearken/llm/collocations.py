@@ -274,6 +274,11 @@ def salts(size: Column) -> Column:
     return F.when(size == 1, F.lit(SALTS[1])).when(size == 2, F.lit(SALTS[2])).otherwise(F.lit(1))
 
 
+def sorted_side(table: DataFrame) -> DataFrame:
+    """``table`` for a join by sorting both sides: the planner sizes exploded rows by the file before, and would broadcast 64 copies of a vocabulary."""
+    return table.hint("merge")
+
+
 def cohesion(found: DataFrame) -> DataFrame:
     """Every phrase of two words or more with its weakest cut: ids, a, l, r, score."""
     long = found.filter(F.size("ids") > 1)
@@ -286,7 +291,7 @@ def cohesion(found: DataFrame) -> DataFrame:
     asked = cuts.select("ids", "a", "k", F.inline(sides))
     asked = asked.withColumn("salt", F.pmod(F.xxhash64("ids"), salts(F.size("part"))).cast("int"))
     known = found.select(F.col("ids").alias("part"), F.col("a").alias("f"), F.explode(F.sequence(F.lit(0), salts(F.size("ids")) - 1)).alias("salt"))
-    met = asked.join(known, ["part", "salt"])
+    met = asked.join(sorted_side(known), ["part", "salt"])
     own = lambda s: F.max(F.when(F.col("side") == s, F.col("f")))
     by_cut = met.groupBy("ids", "a", "k").agg(own(0).alias("l"), own(1).alias("r"))
     wide = lambda c: F.col(c).cast("decimal(20,0)")
@@ -302,7 +307,7 @@ def not_absorbed(candidates: DataFrame, percent: int = 80) -> DataFrame:
     inner = inner.withColumn("first", F.explode(F.sequence(F.lit(1), F.size("ids") - F.col("size") + 1)))
     longer = inner.select(F.slice("ids", F.col("first"), F.col("size")).alias("ids"), "a").groupBy("ids").agg(F.max("a").alias("whole"))
     wide = lambda c: F.col(c).cast("decimal(20,0)")
-    met = candidates.join(longer, "ids", "left")
+    met = candidates.join(sorted_side(longer), "ids", "left")
     return met.filter(F.col("whole").isNull() | (F.lit(100) * wide("whole") < F.lit(percent) * wide("a"))).drop("whole")
 
 
@@ -311,9 +316,9 @@ def spelt(found: DataFrame, words: DataFrame) -> DataFrame:
     salt = F.pmod(F.xxhash64("ids"), F.lit(SALTS[1])).cast("int")
     asked = found.select("ids", F.posexplode("ids").alias("place", "id"), salt.alias("salt"))
     known = words.select("id", "lang", "word", F.explode(F.sequence(F.lit(0), F.lit(SALTS[1] - 1))).alias("salt"))
-    met = asked.join(known, ["id", "salt"]).groupBy("ids").agg(F.first("lang").alias("lang"), F.array_sort(F.collect_list(F.struct("place", "word"))).alias("w"))
+    met = asked.join(sorted_side(known), ["id", "salt"]).groupBy("ids").agg(F.first("lang").alias("lang"), F.array_sort(F.collect_list(F.struct("place", "word"))).alias("w"))
     text = met.select("ids", "lang", F.array_join(F.transform("w", lambda w: w["word"]), " ").alias("phrase"))
-    return found.join(text, "ids").drop("ids")
+    return found.join(sorted_side(text), "ids").drop("ids")
 
 
 def mine(docs: DataFrame, most: int = 2000, least: int = 30, percent: int = 80) -> DataFrame:
